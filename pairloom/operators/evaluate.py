@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.util import as_col
+from pairloom.operators.rows import unnest_structs
 
 
 def _default_normal(text: Column) -> Column:
@@ -59,7 +60,7 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
 
     grams = F.concat(*[tagged(side, n) for n in sizes for side in ("target", "pred")])
     return (
-        placed.select(key, F.inline(grams))
+        unnest_structs(placed, [key], grams, "gram")
         .groupBy(key, "n", "gram")
         .agg(F.sum("a").alias("in_target"), F.sum("b").alias("in_pred"))
     )

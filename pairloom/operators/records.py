@@ -15,6 +15,7 @@ from pairloom.functions.text import (
 )
 from pairloom.functions.tokens import Vocabulary, balanced, covers
 from pairloom.functions.util import as_col
+from pairloom.operators.rows import unnest
 
 # Fixed value: the description of a record that has none.
 NULL_TEXT = "no description."
@@ -98,7 +99,7 @@ def explode_views(
 ) -> DataFrame:
     """One row per view, numbered by ``view_no``; a view that converts to null is dropped."""
     pieces = F.split(F.col(column), "\\Q" + sep + "\\E", -1)
-    rows = df.select("*", F.posexplode(pieces).alias("view_no", out)).drop(column)
+    rows = unnest(df, [c for c in df.columns if c != column], pieces, out, "view_no")
     if convert is not None:
         rows = rows.withColumn(out, convert(F.col(out))).filter(F.col(out).isNotNull())
     return rows

@@ -9,6 +9,7 @@ from pairloom.functions.rand import normal_vector, uniform_int
 from pairloom.functions.vectors import combine, sum_of_squares, to_double
 from pairloom.operators.blocks import batch_products
 from pairloom.operators.noise import with_schedule
+from pairloom.operators.rows import unnest
 from pairloom.operators.vectors import top_k
 
 # Scores that agree to this many places are ties.
@@ -94,10 +95,8 @@ def top_candidates(scored: DataFrame, k: int = 3, hits_only: bool = True) -> Dat
     if hits_only:
         rows = rows.filter("hit = 1")
     best = top_k("scores", k, largest=False, digits=TIE_DIGITS)
-    return rows.select(
-        *[c for c in rows.columns if c not in ("scores", "best", "hit")],
-        F.posexplode(best).alias("rank", "_c"),
-    ).select("*", "_c.place", "_c.score").drop("_c")
+    keep = [c for c in rows.columns if c not in ("scores", "best", "hit")]
+    return unnest(rows, keep, best, "_c", "rank").select("*", "_c.place", "_c.score").drop("_c")
 
 
 def accuracy(hit_rows: DataFrame) -> DataFrame:

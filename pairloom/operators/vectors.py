@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.util import as_col, let
 from pairloom.operators.blocks import batch_products, list_column, matrix
+from pairloom.operators.rows import unnest
 
 # The range that the temperature is held in.
 TEMP_MIN, TEMP_MAX = 0.07, 0.5
@@ -266,7 +267,7 @@ def vector_moments(df: DataFrame, vec: str, group: Column | None = None) -> Data
     partial = rows.mapInArrow(
         _partial_moments, "grp string, n bigint, s array<double>, ss array<double>"
     )
-    cells = partial.select("grp", "n", "s", F.posexplode("ss").alias("at", "xx")).withColumns(
+    cells = unnest(partial, ["grp", "n", "s"], "ss", "xx", "at").withColumns(
         {"i": F.floor(F.col("at") / F.size("s")), "j": F.col("at") % F.size("s")}
     )
     sums = cells.groupBy("grp", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(

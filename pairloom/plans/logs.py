@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.operators import logs
+from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query, table
@@ -79,6 +80,5 @@ def stream_loss_history(spark, sf):
         spark, streams.stream_loss_history(_stream(spark, sf), "event_type", "event_id", "value"), "history"
     )
     latest = streams.latest_history(snapshots)
-    return latest.select("key", "n_seen", F.posexplode("losses").alias("place", "loss")).withColumn(
-        "loss", F.round("loss", 6)
-    )
+    rows = unnest(latest, ["key", "n_seen"], "losses", "loss", "place")
+    return rows.withColumn("loss", F.round("loss", 6))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.rand import uniform_int
 from pairloom.operators import losses, noise
+from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query, table
@@ -165,9 +166,8 @@ def importance_draw(spark, sf):
 def forward_noise(spark, sf):
     rows = noise.draw_timestep(fx.vectors(spark, sf), ["vec_id"], 0, fx.STEPS - 1, fx.SEED)
     noisy = noise.add_noise(rows, noise.schedule(spark), ["vec_id"], "x", fx.DIMS, fx.SEED + 1)
-    flat = noisy.select(
-        "vec_id", "t", F.posexplode(F.arrays_zip("x_t", "q_mean")).alias("dim", "e"), "q_variance", "q_log_variance"
-    ).select("vec_id", "t", "dim", "e.*", "q_variance", "q_log_variance")
+    keep = ["vec_id", "t", "q_variance", "q_log_variance"]
+    flat = unnest(noisy, keep, F.arrays_zip("x_t", "q_mean"), "e", "dim").select(*keep, "dim", "e.*")
     return flat.select("vec_id", "t", "dim", *[_r(c) for c in ("x_t", "q_mean", "q_variance", "q_log_variance")])
 
 
@@ -185,7 +185,7 @@ def reconstruct_x0(spark, sf):
     coefs = fx.respaced(spark)
     out = noise.reconstruct(fx.predictions(spark, sf, coefs), coefs, clip=True)
     names = ("pred_x0", "pred_eps", "mean", "log_variance")
-    flat = out.select("vec_id", "t", F.posexplode(F.arrays_zip(*names)).alias("dim", "e"))
+    flat = unnest(out, ["vec_id", "t"], F.arrays_zip(*names), "e", "dim")
     return flat.select("vec_id", "t", "dim", "e.*").select("vec_id", "t", "dim", *[_r(c) for c in names])
 
 

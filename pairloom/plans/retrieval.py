@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import batching, noise
 from pairloom.operators import retrieval as ret
+from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query
@@ -44,7 +45,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("retrieval_scores", f"WITH {_SCORES} SELECT pos, place, {sql.r6('score')} AS score FROM scored")
 def retrieval_scores(spark, sf):
-    rows = scored(spark, sf).select("pos", F.posexplode("scores").alias("place", "score"))
+    rows = unnest(scored(spark, sf), ["pos"], "scores", "score", "place")
     return rows.withColumn("score", F.round("score", 6))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as vf
 from pairloom.operators import vectors as vec
+from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query, table
@@ -27,7 +28,7 @@ def normalize(spark, sf):
     scaled = fx.vectors(spark, sf).select(
         "vec_id", F.transform("x", lambda e: e * (F.col("label") - 4)).alias("x")
     )
-    unit = scaled.select("vec_id", F.posexplode(vf.l2_normalize("x")).alias("dim", "value"))
+    unit = unnest(scaled, ["vec_id"], vf.l2_normalize("x"), "value", "dim")
     return unit.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
@@ -48,7 +49,7 @@ def _sims(spark, sf):
     f"SELECT pos, vec_id, rn - 1 AS rank, place, {sql.r6('sim')} AS score FROM r WHERE rn <= 3",
 )
 def pair_similarity_topk(spark, sf):
-    best = _sims(spark, sf).select("pos", "vec_id", F.posexplode(vec.top_k("sim", 3)).alias("rank", "c"))
+    best = unnest(_sims(spark, sf), ["pos", "vec_id"], vec.top_k("sim", 3), "c", "rank")
     return best.select("pos", "vec_id", "rank", "c.place", F.round("c.score", 6).alias("score"))
 
 
@@ -63,7 +64,7 @@ def pair_similarity_topk(spark, sf):
 def soft_targets(spark, sf):
     # A temperature below the allowed range is lifted to its lower end.
     weights = vec.soft_targets("sim", "member", 0.01, ALPHA)
-    rows = _sims(spark, sf).select("pos", F.posexplode(weights).alias("place", "weight"))
+    rows = unnest(_sims(spark, sf), ["pos"], weights, "weight", "place")
     return rows.withColumn("weight", F.round("weight", 6))
 
 
@@ -159,5 +160,5 @@ def guided_combine(spark, sf):
     cond = preds.select("vec_id", "t", "eps_hat")
     uncond = preds.select("vec_id", "t", "eps")
     both = cond.join(uncond, ["vec_id", "t"])
-    rows = both.select("vec_id", "t", F.posexplode(vf.guided("eps_hat", "eps", 7.5, 32)).alias("dim", "value"))
+    rows = unnest(both, ["vec_id", "t"], vf.guided("eps_hat", "eps", 7.5, 32), "value", "dim")
     return rows.withColumn("value", F.round("value", 6) + F.lit(0.0))

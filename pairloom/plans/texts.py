@@ -8,6 +8,7 @@ from pairloom.functions import text as tx
 from pairloom.functions import tokens as tk
 from pairloom.operators import records as rec
 from pairloom.operators import tokenize as enc
+from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query, table
@@ -154,14 +155,13 @@ def _groups(spark, sf):
     f"WITH {_DOC_SPLIT} SELECT doc_id, unnest(range(0, len(arr))) AS pos, unnest(arr) AS sentence FROM split",
 )
 def sentence_split(spark, sf):
-    return _sentences(spark, sf).select("doc_id", F.posexplode("s").alias("pos", "sentence"))
+    return unnest(_sentences(spark, sf), ["doc_id"], "s", "sentence", "pos")
 
 
 @query("sentence_regroup", f"WITH {_DOC_GROUPS} SELECT doc_id, g::BIGINT AS pos, grp AS sentences FROM groups")
 def sentence_regroup(spark, sf):
-    return _groups(spark, sf).select("doc_id", F.posexplode("g").alias("pos", "sentences")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    rows = unnest(_groups(spark, sf), ["doc_id"], "g", "sentences", "pos")
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 _PICK = (
