@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,23 +38,25 @@ END = "<stop>"
 
 _L = "[A-Za-z]"
 
-# (pattern, replacement); groups are written $1. The order matters. The entry None stands for the
-# dot-run rule, which Java can say with look-around and other engines cannot.
+# (pattern, replacement), in order; groups are written $1. Runs of dots are protected between the
+# first and the second list.
 DOT_RULES_BEFORE_RUNS = [
     (rf"({TITLES})\.", f"$1{DOT}"),
     (rf"\.({SITE_ENDINGS})", f"{DOT}$1"),
     (r"([0-9])\.([0-9])", f"$1{DOT}$2"),
 ]
-DOT_RULES_AFTER_RUNS = [
-    (r"Ph\.D\.", f"Ph{DOT}D{DOT}"),
-    (rf"{SPACE}({_L})\. ", f" $1{DOT} "),
+DOCTORATE = ("Ph.D.", f"Ph{DOT}D{DOT}")
+LONE_LETTER = (rf"{SPACE}({_L})\. ", f" $1{DOT} ")
+INITIALS = [
     (rf"([A-Z]\.[A-Z]\.(?:[A-Z]\.)?) ({SENTENCE_OPENERS})", f"$1{END} $2"),
     (rf"({_L})\.({_L})\.({_L})\.", f"$1{DOT}$2{DOT}$3{DOT}"),
     (rf"({_L})\.({_L})\.", f"$1{DOT}$2{DOT}"),
+]
+COMPANIES = [
     (rf" ({COMPANY_SUFFIXES})\. ({SENTENCE_OPENERS})", f" $1{END} $2"),
     (rf" ({COMPANY_SUFFIXES})\.", f" $1{DOT}"),
-    (rf" ({_L})\.", f" $1{DOT}"),
 ]
+LAST_LETTER = (rf" ({_L})\.", f" $1{DOT}")
 # A stop before a closing quote moves behind it.
 QUOTE_SWAPS = [(".”", "”."), ('."', '".'), ('!"', '"!'), ('?"', '"?')]
 
@@ -61,7 +67,7 @@ def strip(text: Column | str) -> Column:
 
 def one_line(text: Column | str) -> Column:
     """Tabs and line breaks become spaces, so that the text can be a field of a line."""
-    return F.translate(as_col(text), "\t\n\r", "   ")
+    return F.regexp_replace(as_col(text), "[\\t\\n\\r]", " ")
 
 
 def add_tag(text: Column | str, tag: str) -> Column:
@@ -80,22 +86,45 @@ def longest_piece(text: Column | str, sep: str) -> Column:
     return F.array_min(ranked)["piece"]
 
 
+def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def _where(text: Column, needed: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """Run costly rewrites only on texts that a cheap test finds to need them."""
+    return let(text, lambda t: F.when(needed(t), change(t)).otherwise(t))
+
+
 def _protect_dot_runs(text: Column) -> Column:
     ended = F.regexp_replace(text, r"(\.{2,})", f"$1{END}")
     return F.regexp_replace(ended, r"\.(?=\.)|(?<=\.)\.", DOT)
 
 
 def split_sentences(text: Column | str) -> Column:
-    """Sentences of a text as an array, by ordered rewrites of native regular expressions."""
+    """Sentences of a text as an array, by ordered rewrites of native regular expressions.
+
+    Most texts need few of the rules, so the rare ones stand behind a test.
+    """
     work = F.replace(F.concat(F.lit(" "), as_col(text), F.lit("  ")), F.lit("\n"), F.lit(" "))
-    for pattern, replacement in DOT_RULES_BEFORE_RUNS:
-        work = F.regexp_replace(work, pattern, replacement)
-    work = _protect_dot_runs(work)
-    for pattern, replacement in DOT_RULES_AFTER_RUNS:
-        work = F.regexp_replace(work, pattern, replacement)
+    work = _rewrite(work, DOT_RULES_BEFORE_RUNS)
+    work = _where(work, lambda t: t.contains(".."), _protect_dot_runs)
+    work = F.replace(work, F.lit(DOCTORATE[0]), F.lit(DOCTORATE[1]))
+    work = _rewrite(work, [LONE_LETTER])
+    # All three rules need what the last one looks for.
+    work = _where(work, lambda t: t.rlike(INITIALS[-1][0]), lambda t: _rewrite(t, INITIALS))
+    suffixes = COMPANY_SUFFIXES.split("|")
+    work = _where(
+        work,
+        lambda t: reduce(or_, [t.contains(f" {s}.") for s in suffixes]),
+        lambda t: _rewrite(t, COMPANIES),
+    )
+    work = _rewrite(work, [LAST_LETTER])
     for found, swapped in QUOTE_SWAPS:
         work = F.replace(work, F.lit(found), F.lit(swapped))
-    work = F.regexp_replace(work, r"([.?!])", f"$1{END}")
+    for mark in ".?!":
+        work = F.replace(work, F.lit(mark), F.lit(mark + END))
     work = F.replace(work, F.lit(DOT), F.lit("."))
     pieces = F.transform(F.split(work, END, -1), strip)
     return let(

@@ -41,6 +41,34 @@ class Vocabulary:
         ordered = sorted((t for t in self.tokens if t), key=len, reverse=True)
         return "(" + "|".join(escape(t) for t in ordered) + ")"
 
+    @property
+    def automaton(self) -> str:
+        """The same matches as `pattern`, from a tree of the tokens.
+
+        Longest first means: at a place, the longest token that fits. Tokens with the same start
+        share it, and single characters form one class, so a place is decided by a few
+        comparisons instead of one per token.
+        """
+        tree: dict = {}
+        for token in self.tokens:
+            node = tree
+            for ch in token:
+                node = node.setdefault(ch, {})
+            if token:
+                node[""] = {}
+
+        def branches(node: dict) -> str:
+            leaves = [ch for ch, below in node.items() if ch and set(below) == {""}]
+            parts = [escape(ch) + tail(below) for ch, below in node.items() if ch and set(below) != {""}]
+            if leaves:
+                parts.append("[" + "".join(escape(ch) for ch in leaves) + "]")
+            return "|".join(parts)
+
+        def tail(node: dict) -> str:
+            return f"(?:{branches(node)})" + ("?" if "" in node else "")
+
+        return branches(tree)
+
     def id_of(self, spark: SparkSession) -> tuple[Column, int]:
         """A two-level lookup: hash slot, then the one or two tokens of that slot.
 
@@ -71,7 +99,7 @@ class Vocabulary:
 def tokenize(text: Column | str, vocab: Vocabulary) -> Column:
     """Tokens of ``[CLS]text[SEP]``, longest match first; other characters are skipped."""
     framed = F.concat(F.lit(CLS), as_col(text), F.lit(SEP))
-    return F.regexp_extract_all(framed, F.lit(vocab.pattern), F.lit(0))
+    return F.regexp_extract_all(framed, F.lit(vocab.automaton), F.lit(0))
 
 
 def token_ids(spark: SparkSession, tokens: Column | str, vocab: Vocabulary) -> Column:
@@ -112,7 +140,7 @@ def attention_mask(ids: Column | str, pad_id: int = 0) -> Column:
 def covers(text: Column | str, vocab: Vocabulary) -> Column:
     """True where the tokens leave no character of the text out."""
     text = as_col(text)
-    tokens = F.regexp_extract_all(text, F.lit(vocab.pattern), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(vocab.automaton), F.lit(0))
     return F.length(F.array_join(tokens, "")) == F.length(text)
 
 

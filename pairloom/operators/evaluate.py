@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.util import as_col
 from pairloom.operators.rows import unnest_structs
+from pairloom.session import place
 
 
 def _default_normal(text: Column) -> Column:
@@ -49,7 +50,7 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     The texts are placed by ``key`` before they are taken apart, so only raw text is shuffled and
     the counts of both sides and all sizes form where the pair is, in one aggregation and no join.
     """
-    placed = df.select(key, "target", "pred").repartition(key)
+    placed = place(df.select(key, "target", "pred"), key)
 
     def tagged(side: str, n: int) -> Column:
         here = F.lit(1 if side == "target" else 0)

@@ -11,6 +11,7 @@ from pairloom.operators.blocks import batch_products
 from pairloom.operators.noise import with_schedule
 from pairloom.operators.rows import unnest
 from pairloom.operators.vectors import top_k
+from pairloom.session import place
 
 # Scores that agree to this many places are ties.
 TIE_DIGITS = 9
@@ -39,7 +40,7 @@ def score_candidates(
     One shuffle, by batch: the rounds are expanded and folded where the batch already is.
     """
     ab, rest = F.col("alpha_bar"), F.col("_one_minus")
-    rounds = df.repartition(batch).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
+    rounds = place(df, batch).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
     drawn = rounds.withColumn("_t", uniform_int(seed, lo, hi, "_round", pos))
     placed = with_schedule(drawn, coefs, ["alpha_bar"], "_t").withColumn("_one_minus", 1.0 - ab)
     noisy = placed.withColumn(

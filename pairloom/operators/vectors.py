@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.util import as_col, let
 from pairloom.operators.blocks import batch_products, list_column, matrix
 from pairloom.operators.rows import unnest
+from pairloom.session import place
 
 # The range that the temperature is held in.
 TEMP_MIN, TEMP_MAX = 0.07, 0.5
@@ -182,7 +183,7 @@ def contrastive_loss(
         F.col(view2).cast("array<double>").alias("v2"),
     )
     blocks = bank_blocks(rows, "batch_no", "member", q, per_step).withColumnRenamed("_home", "home")
-    return blocks.groupBy("block").applyInArrow(
+    return place(blocks, "block").groupBy("block").applyInArrow(
         per_block, "batch_no bigint, candidates bigint, loss double"
     )
 

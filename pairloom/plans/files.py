@@ -17,8 +17,7 @@ _DOC_LINES = f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, {_LINE
 
 def _write_documents(spark, sf, label: str) -> str:
     path = scratch_dir(spark, label)
-    docs = table(spark, sf, "documents").select("doc_id", one_line("text").alias("line"))
-    src.write_lines(docs, ["doc_id"], "line", path)
+    src.write_lines(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], one_line("text"), path)
     return path
 
 
@@ -30,8 +29,8 @@ def _write_documents(spark, sf, label: str) -> str:
 def scan_lines(spark, sf):
     docs = _write_documents(spark, sf, "scan")
     bench = scratch_dir(spark, "scan")
-    items = table(spark, sf, "benchmark").select("item_id", one_line("text").alias("line"))
-    src.write_lines(items, ["item_id"], "line", bench)
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    src.write_lines(items, ["item_id"], one_line("text"), bench)
     return src.read_lines(spark, [docs, bench]).select("file_no", "line_no", "line")
 
 

@@ -12,6 +12,7 @@ from pairloom.functions.vectors import combine, to_double
 from pairloom.operators import batching, noise
 from pairloom.plans import sql
 from pairloom.plans.registry import table
+from pairloom.session import spread
 
 SEED = 7
 DIMS = 64
@@ -121,7 +122,9 @@ PAIR_LINES_CTE = (
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "label", to_double("embedding").alias("x"))
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(
+        "vec_id", "label", to_double("embedding").alias("x")
+    )
 
 
 VECTORS_CTE = "vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"

@@ -72,7 +72,8 @@ def sentences(expr: str) -> str:
     work = f"replace({work}, '..', chr(1) || chr(1))"
     work = f"replace({work}, chr(1) || '.', chr(1) || chr(1))"
     work = f"replace({work}, chr(1), {quote(tx.DOT)})"
-    for pattern, replacement in tx.DOT_RULES_AFTER_RUNS:
+    work = f"replace({work}, {quote(tx.DOCTORATE[0])}, {quote(tx.DOCTORATE[1])})"
+    for pattern, replacement in [tx.LONE_LETTER, *tx.INITIALS, *tx.COMPANIES, tx.LAST_LETTER]:
         work = _sub(work, pattern, replacement)
     for found, swapped in tx.QUOTE_SWAPS:
         work = f"replace({work}, {quote(found)}, {quote(swapped)})"

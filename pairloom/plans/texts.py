@@ -12,6 +12,7 @@ from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query, table
+from pairloom.session import spread
 
 NULL = sql.quote(rec.NULL_TEXT)
 _SPLIT = "string_split(line, chr(9))"
@@ -133,7 +134,7 @@ def _depth_cte(name: str, opening: str, closing: str) -> str:
     f"{sql.r6('avg(ok::INT)')} AS validity, count(DISTINCT text) FILTER (ok) AS n_distinct FROM checked",
 )
 def validity_rate(spark, sf):
-    docs = table(spark, sf, "documents").select("text")
+    docs = _documents(spark, sf).select("text")
     out = rec.validity(docs, "text", rec.default_validity("text", VOCAB))
     return out.withColumn("validity", F.round("validity", 6))
 
@@ -142,8 +143,12 @@ _DOC_SPLIT = sql.sentences_cte("documents", "doc_id", "text")
 _DOC_GROUPS = f"{_DOC_SPLIT}, {sql.groups_cte('doc_id')}"
 
 
+def _documents(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", tx.split_sentences("text").alias("s"))
+    return _documents(spark, sf).select("doc_id", "text", tx.split_sentences("text").alias("s"))
 
 
 def _groups(spark, sf):
@@ -208,7 +213,7 @@ def describe_level(spark, sf):
     "SELECT doc_id, len(toks) AS n_tokens, array_to_string(toks, '|') AS toks FROM t",
 )
 def tokenize(spark, sf):
-    toks = table(spark, sf, "documents").select("doc_id", tk.tokenize("text", VOCAB).alias("toks"))
+    toks = _documents(spark, sf).select("doc_id", tk.tokenize("text", VOCAB).alias("toks"))
     return toks.select("doc_id", F.size("toks").alias("n_tokens"), F.array_join("toks", "|").alias("toks"))
 
 
@@ -223,7 +228,7 @@ _ENCODED = (
 
 
 def _encoded(spark, sf):
-    return enc.encode(table(spark, sf, "documents").select("doc_id", "text"), "text", VOCAB)
+    return enc.encode(_documents(spark, sf), "text", VOCAB)
 
 
 @query("encode_ids", f"WITH {_ENCODED} SELECT doc_id, n_tokens, array_to_string(ids, ',') AS ids FROM enc")

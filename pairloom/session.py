@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", app: str = "pairloom", **conf: str) -> SparkSession:
@@ -41,3 +41,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` ahead of heavy work on small rows.
+
+    The width is explicit, because adaptive execution merges partitions by bytes and would give
+    one task all of the work.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), *keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` only where the scan has fewer tasks than there are cores.
+
+    Meant for heavy work on a small file; a large table has tasks enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import strip
 from pairloom.functions.tokens import MAX_TOKENS, Vocabulary
+from pairloom.functions.util import as_col
 
 _SPLITS = "path string, _start bigint, _first bigint, _count bigint, _offset bigint"
 
@@ -71,12 +72,16 @@ def read_line_range(spark: SparkSession, path: str, first: int, end: int) -> Dat
     return read_lines(spark, [path]).filter((F.col("line_no") >= first) & (F.col("line_no") < end))
 
 
-def write_lines(df: DataFrame, order: list[str], column: str, path: str) -> None:
-    """Write one column as text; part files in name order hold the lines in ``order``."""
+def write_lines(df: DataFrame, order: list[str], line: Column | str, path: str) -> None:
+    """Write one expression as text; part files in name order hold the lines in ``order``.
+
+    The expression is taken behind the shuffle: the sampling pass of the range partitioning runs
+    the plan below it a second time.
+    """
     (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select(column)
+        .select(as_col(line).alias("value"))
         .write.mode("overwrite")
         .text(path)
     )
@@ -101,11 +106,11 @@ def read_vocab(spark: SparkSession, path: str) -> Vocabulary:
 
 def write_pairs(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Write ``target <TAB> pred`` lines; each task commits its own file."""
-    lines = df.withColumn("_line", F.concat_ws("\t", "target", "pred"))
+    line = F.concat_ws("\t", "target", "pred")
     if order:
-        write_lines(lines, order, "_line", path)
+        write_lines(df, order, line, path)
     else:
-        lines.select("_line").write.mode("overwrite").text(path)
+        df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def parse_pairs(lines: DataFrame, sentinel: str = "Q") -> DataFrame:
