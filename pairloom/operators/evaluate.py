@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.util import as_col
-from pairloom.operators.rows import unnest_structs
+from pairloom.functions.util import as_col, let
+from pairloom.operators.rows import unnest, unnest_structs
 from pairloom.session import place
 
 
@@ -35,13 +35,17 @@ def edit_distance(df: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column | str, n: int) -> Column:
-    """All n-grams of a text as an array of strings."""
-    text = as_col(text)
-    last = F.length(text) - n + 1
-    return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
+    """All n-grams of a text as an array of strings, from its characters."""
+    return let(
+        F.filter(F.split(as_col(text), ""), lambda ch: ch != ""),
+        lambda chars: F.when(
+            F.size(chars) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))),
+                lambda i: F.concat(*[F.get(chars, i + (k - 1)) for k in range(n)]),
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def gram_counts(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
@@ -49,21 +53,24 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
 
     The texts are placed by ``key`` before they are taken apart, so only raw text is shuffled and
     the counts of both sides and all sizes form where the pair is, in one aggregation and no join.
+    A gram is put together from the characters behind its place; cutting it out of the text would
+    walk the text from its start for every gram.
     """
-    placed = place(df.select(key, "target", "pred"), key)
 
-    def tagged(side: str, n: int) -> Column:
-        here = F.lit(1 if side == "target" else 0)
-        return F.transform(
-            _grams(side, n),
-            lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), here.alias("a"), (1 - here).alias("b")),
-        )
+    def side(name: str, a: int, b: int) -> Column:
+        return F.struct(F.split(name, "").alias("chars"), F.lit(a).alias("a"), F.lit(b).alias("b"))
 
-    grams = F.concat(*[tagged(side, n) for n in sizes for side in ("target", "pred")])
-    return (
-        unnest_structs(placed, [key], grams, "gram")
-        .groupBy(key, "n", "gram")
-        .agg(F.sum("a").alias("in_target"), F.sum("b").alias("in_pred"))
+    def gram(n: int) -> Column:
+        letters = [F.get("chars", F.col("at") + k) for k in range(1, n)]
+        # Beyond the end a letter is null, and so is the gram.
+        return F.struct(F.lit(n).alias("n"), F.concat("letter", *letters).alias("gram"))
+
+    placed = place(df.select(key, "target", "pred"), key)
+    sides = unnest_structs(placed, [key], F.array(side("target", 1, 0), side("pred", 0, 1)), "a")
+    letters = unnest(sides, [key, "chars", "a", "b"], "chars", "letter", "at").filter("letter <> ''")
+    grams = unnest_structs(letters, [key, "a", "b"], F.array(*[gram(n) for n in sizes]), "gram")
+    return grams.groupBy(key, "n", "gram").agg(
+        F.sum("a").alias("in_target"), F.sum("b").alias("in_pred")
     )
 
 

@@ -169,9 +169,8 @@ TWO_VIEWS_CTE = (
 def respaced(spark: SparkSession) -> DataFrame:
     """Coefficients of the respaced schedule (10 steps)."""
     base = noise.schedule(spark, "linear", STEPS)
-    return noise.coefficients(
-        noise.respace(base, noise.kept_steps(spark, STEPS, RESPACED)).select("t", "beta")
-    )
+    short = noise.respace(base, noise.kept_steps(spark, STEPS, RESPACED)).select("t", "beta")
+    return noise.held(noise.coefficients(short))
 
 
 RESPACED_CTE = (

@@ -40,7 +40,7 @@ def beta_tables(spark, sf):
     named = tables[0]
     for other in tables[1:]:
         named = named.unionByName(other)
-    rows = noise.with_schedule(_drawn(spark, sf), named, ["schedule", "beta"])
+    rows = noise.with_schedule(_drawn(spark, sf), noise.held(named), ["schedule", "beta"])
     return rows.select("schedule", "event_id", "t", _r("beta", 10))
 
 
@@ -101,7 +101,7 @@ _KEPT = _python_steps(fx.STEPS, _SECTIONS)
 def respaced_schedule(spark, sf):
     """Old step and new beta at the short step drawn for each event."""
     base = noise.schedule(spark)
-    short = noise.respace(base, noise.kept_steps(spark, fx.STEPS, _SECTIONS))
+    short = noise.held(noise.respace(base, noise.kept_steps(spark, fx.STEPS, _SECTIONS)))
     rows = noise.with_schedule(_drawn(spark, sf, 0, len(_KEPT) - 1), short, ["old_t", "beta"])
     return rows.select("event_id", "t", "old_t", _r("beta", 10))
 
