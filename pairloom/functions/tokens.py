@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ class Vocabulary:
             while slots < 2 * len(self.tokens):
                 slots *= 2
             rows = (
-                spark.createDataFrame(list(enumerate(self.tokens)), "id int, token string")
+                spark.createDataFrame(pa.table({"id": range(len(self.tokens)), "token": list(self.tokens)}))
                 .select("id", "token", F.pmod(F.hash("token"), F.lit(slots)).alias("slot"))
                 .collect()
             )

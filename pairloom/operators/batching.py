@@ -49,7 +49,8 @@ def shuffle_positions(
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_u", *key))
     return (
         keyed.withColumn("_rank", inside)
-        .join(F.broadcast(offsets), "_bucket")
+        # Every bucket has its offset; an outer join adds no null test, hence no second digest.
+        .join(F.broadcast(offsets), "_bucket", "left")
         .withColumn(out, F.col("_offset") + F.col("_rank") - 1)
         .drop("_u", "_bucket", "_rank", "_offset")
     )

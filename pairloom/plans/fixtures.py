@@ -122,9 +122,7 @@ PAIR_LINES_CTE = (
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "embeddings"), "vec_id").select(
-        "vec_id", "label", to_double("embedding").alias("x")
-    )
+    return table(spark, sf, "embeddings").select("vec_id", "label", to_double("embedding").alias("x"))
 
 
 VECTORS_CTE = "vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -168,9 +166,7 @@ TWO_VIEWS_CTE = (
 
 def respaced(spark: SparkSession) -> DataFrame:
     """Coefficients of the respaced schedule (10 steps)."""
-    base = noise.schedule(spark, "linear", STEPS)
-    short = noise.respace(base, noise.kept_steps(spark, STEPS, RESPACED)).select("t", "beta")
-    return noise.held(noise.coefficients(short))
+    return noise.schedule(spark, "linear", STEPS, RESPACED)
 
 
 RESPACED_CTE = (
@@ -184,7 +180,7 @@ def predictions(spark: SparkSession, sf: str, coefs: DataFrame) -> DataFrame:
 
     ``eps_hat`` is the true noise and a tenth of another one; ``v`` is uniform in [-1, 1).
     """
-    rows = vectors(spark, sf).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    rows = spread(vectors(spark, sf), "vec_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
     noisy = noise.add_noise(rows, coefs, ["vec_id", "t"], "x", DIMS, SEED + 3)
     other = normal_vector(SEED + 4, DIMS, "vec_id", "t")
     return noisy.select(

@@ -10,6 +10,7 @@ from pairloom.operators.rows import unnest
 from pairloom.plans import fixtures as fx
 from pairloom.plans import sql
 from pairloom.plans.registry import query, table
+from pairloom.session import spread
 
 _BASE = sql.coefs_cte("sched", sql.betas("linear", fx.STEPS))
 _DRAW = f"drawn AS (SELECT event_id, {sql.u_int(fx.SEED, 0, 999, 'event_id')} AS t FROM events)"
@@ -100,8 +101,7 @@ _KEPT = _python_steps(fx.STEPS, _SECTIONS)
 )
 def respaced_schedule(spark, sf):
     """Old step and new beta at the short step drawn for each event."""
-    base = noise.schedule(spark)
-    short = noise.held(noise.respace(base, noise.kept_steps(spark, fx.STEPS, _SECTIONS)))
+    short = noise.schedule(spark, "linear", fx.STEPS, _SECTIONS)
     rows = noise.with_schedule(_drawn(spark, sf, 0, len(_KEPT) - 1), short, ["old_t", "beta"])
     return rows.select("event_id", "t", "old_t", _r("beta", 10))
 
@@ -164,7 +164,7 @@ def importance_draw(spark, sf):
     f"{sql.r6('1 - ab')} AS q_variance, {sql.r6('lomab')} AS q_log_variance FROM entries JOIN sched USING (t)",
 )
 def forward_noise(spark, sf):
-    rows = noise.draw_timestep(fx.vectors(spark, sf), ["vec_id"], 0, fx.STEPS - 1, fx.SEED)
+    rows = noise.draw_timestep(spread(fx.vectors(spark, sf), "vec_id"), ["vec_id"], 0, fx.STEPS - 1, fx.SEED)
     noisy = noise.add_noise(rows, noise.schedule(spark), ["vec_id"], "x", fx.DIMS, fx.SEED + 1)
     keep = ["vec_id", "t", "q_variance", "q_log_variance"]
     flat = unnest(noisy, keep, F.arrays_zip("x_t", "q_mean"), "e", "dim").select(*keep, "dim", "e.*")

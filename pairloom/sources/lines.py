@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from pairloom.functions.text import strip
 from pairloom.functions.tokens import MAX_TOKENS, Vocabulary
 from pairloom.functions.util import as_col
 
-_SPLITS = "path string, _start bigint, _first bigint, _count bigint, _offset bigint"
+_SPLITS = pa.schema(
+    [("path", pa.string())] + [(name, pa.int64()) for name in ("_start", "_first", "_count", "_offset")]
+)
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -35,9 +38,8 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     )
     splits.sort(key=lambda s: (s["path"], s["_start"]))
     offsets = [0, *accumulate(s["_count"] for s in splits)]
-    table = spark.createDataFrame(
-        [(s["path"], s["_start"], s["_first"], s["_count"], o) for s, o in zip(splits, offsets)], _SPLITS
-    )
+    columns = {name: [s[name] for s in splits] for name in ("path", "_start", "_first", "_count")}
+    table = spark.createDataFrame(pa.table({**columns, "_offset": offsets[: len(splits)]}, _SPLITS))
     at = F.col("_row") - F.col("_first")
     # Both scans cut the files alike; if that ever failed, stop instead of misnumbering.
     checked = F.when((at >= 0) & (at < F.col("_count")), at).otherwise(
