@@ -24,6 +24,9 @@ def local_session(cpus: str = "8", app: str = "pairloom", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
@@ -34,8 +37,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _local_roots.setdefault(app, "") or tempfile.mkdtemp(prefix="pairloom-")
+        _local_roots[app] = root
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
