@@ -108,12 +108,22 @@ def split_sentences(text: Column | str) -> Column:
     Most texts need few of the rules, so the rare ones stand behind a test.
     """
     work = F.replace(F.concat(F.lit(" "), as_col(text), F.lit("  ")), F.lit("\n"), F.lit(" "))
-    work = _rewrite(work, DOT_RULES_BEFORE_RUNS)
+    # A title before the dot or a site ending behind it: the two rules touch only that dot, so one
+    # search from dot to dot does both.
+    work = F.regexp_replace(work, rf"\.(?:(?<=(?:{TITLES})\.)|(?={SITE_ENDINGS}))", DOT)
+    work = _rewrite(work, DOT_RULES_BEFORE_RUNS[2:])
     work = _where(work, lambda t: t.contains(".."), _protect_dot_runs)
     work = F.replace(work, F.lit(DOCTORATE[0]), F.lit(DOCTORATE[1]))
-    work = _rewrite(work, [LONE_LETTER])
+    # The tests look for the rare dot first and backwards from it, not for every space or letter.
+    work = _where(
+        work,
+        lambda t: t.rlike(rf"\. (?<={SPACE}{_L}\. )"),
+        lambda t: _rewrite(t, [LONE_LETTER]),
+    )
     # All three rules need what the last one looks for.
-    work = _where(work, lambda t: t.rlike(INITIALS[-1][0]), lambda t: _rewrite(t, INITIALS))
+    work = _where(
+        work, lambda t: t.rlike(rf"\.{_L}\.(?<={_L}\.{_L}\.)"), lambda t: _rewrite(t, INITIALS)
+    )
     suffixes = COMPANY_SUFFIXES.split("|")
     work = _where(
         work,

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pairloom.functions.rand import uniform
 from pairloom.session import shuffle_width
 
+# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+RANK_LIMIT = 1000
+
 
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Concatenate by column name and number the sources in ``source_no``."""
@@ -36,15 +39,26 @@ def shuffle_positions(
     The sort value is uniform in [0, 1), so equal slices of it are equal buckets whatever the data.
     The offset table has at most ``buckets`` rows and is broadcast.
     """
+    return _shuffle_positions(df, key, seed + epoch, buckets, out).drop("_total")
+
+
+def _shuffle_positions(
+    df: DataFrame, key: list[str], seed: int, buckets: int | None, out: str
+) -> DataFrame:
+    """The positions, and the row count in ``_total``: the bucket sizes give both in one pass."""
     buckets = buckets or 4 * shuffle_width(df.sparkSession)
-    keyed = df.withColumn("_u", uniform(seed + epoch, *key)).withColumn(
+    keyed = df.withColumn("_u", uniform(seed, *key)).withColumn(
         "_bucket", F.floor(F.col("_u") * buckets).cast("int")
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("_bucket")
         .count()
-        .select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            "_bucket",
+            F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
+            F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
+        )
     )
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_u", *key))
     return (
@@ -82,6 +96,21 @@ def grouped_positions(
     )
 
 
+def last_rows(df: DataFrame, keys: list[str], order: str, n: int, width: int = 100_000) -> DataFrame:
+    """The last ``n`` rows per key by a whole-number ``order``.
+
+    Up to RANK_LIMIT rows the rank filter also runs before the shuffle, so a hot key sends ``n``
+    rows per task. Beyond it Spark would sort a whole key in one task; then rows are counted from
+    the end in stretches.
+    """
+    if n <= RANK_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    reversed_ = df.withColumn("_down", -F.col(order))
+    counted = grouped_positions(reversed_, keys, "_down", width, "_behind")
+    return counted.filter(F.col("_behind") < n).drop("_down", "_behind")
+
+
 def pad_tail(df: DataFrame, order: str, size: int, exact: bool = False) -> DataFrame:
     """Append copies of the first ``size - n % size`` rows; ``copy`` tells 0 from 1.
 
@@ -96,12 +125,6 @@ def pad_tail(df: DataFrame, order: str, size: int, exact: bool = False) -> DataF
     return df.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
 
 
-def _laps(df: DataFrame, pos: str, n: Column, total: Column) -> DataFrame:
-    """Repeat rows from position 0 until there are ``total``; later laps get positions from n on."""
-    places = F.sequence(F.col(pos), total - 1, n)
-    return df.withColumn("_at", F.explode(places)).withColumn(pos, F.col("_at")).drop("_at")
-
-
 def assign_shards(
     df: DataFrame, key: list[str], world: int, seed: int, epoch: int = 0, buckets: int | None = None
 ) -> DataFrame:
@@ -109,17 +132,16 @@ def assign_shards(
 
     Adds ``pos``, ``shard``, ``slot`` (the place inside the shard) and ``shard_size``.
     """
-    n = df.agg(F.count("*")).scalar()
-    shard_size = F.ceil(n / world)
-    placed = shuffle_positions(df, key, seed, epoch, buckets)
-    wrapped = _laps(placed, "pos", n, shard_size * world) if world > 1 else placed
-    return wrapped.withColumns(
-        {
-            "shard": (F.col("pos") % world).cast("int"),
-            "slot": F.floor(F.col("pos") / world),
-            "shard_size": shard_size,
-        }
+    placed = _shuffle_positions(df, key, seed + epoch, buckets, "pos").withColumn(
+        "shard_size", F.ceil(F.col("_total") / world)
     )
+    if world > 1:
+        # Later laps over the order fill the places from _total on.
+        places = F.sequence(F.col("pos"), F.col("shard_size") * world - 1, F.col("_total"))
+        placed = placed.withColumn("pos", F.explode(places))
+    return placed.withColumns(
+        {"shard": (F.col("pos") % world).cast("int"), "slot": F.floor(F.col("pos") / world)}
+    ).drop("_total")
 
 
 def assign_batches(df: DataFrame, size: int, drop_last: bool) -> DataFrame:

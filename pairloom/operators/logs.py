@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.batching import last_rows
+
 
 def windowed_loss(
     df: DataFrame, step: str, loss: str, worker: str, ts: str | None = None, every: int = 100
@@ -43,12 +45,9 @@ def windowed_loss(
 
 
 def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, n: int = 1000) -> DataFrame:
-    """Mean of the last ``n`` values per key. Only ``n`` rows per key and task are shuffled."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    """Mean of the last ``n`` values per key."""
     return (
-        df.select(*keys, order, value)
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= n)
+        last_rows(df.select(*keys, order, value), keys, order, n)
         .groupBy(*keys)
         .agg(F.count("*").alias("n"), F.avg(value).alias("trailing_mean"))
     )

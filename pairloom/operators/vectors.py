@@ -236,9 +236,10 @@ def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if batch.num_rows == 0:
             continue
         x = matrix(batch.column("vec"), batch.num_rows)
-        groups = np.asarray(batch.column("grp").to_pylist(), dtype=object)
-        for g in set(groups):
-            part = x[groups == g]
+        coded = batch.column("grp").dictionary_encode()
+        codes = coded.indices.to_numpy()
+        for code, g in enumerate(coded.dictionary.to_pylist()):
+            part = x[codes == code]
             acc = sums.setdefault(g, [0, 0.0, 0.0])
             acc[0] += len(part)
             acc[1] = acc[1] + part.sum(axis=0)

@@ -27,12 +27,21 @@ def stream_windowed_mean(
 
 
 def stream_keep_first(
-    stream: DataFrame, key: list[str], ts: str | None = None, delay: str | None = None
+    stream: DataFrame, key: list[str], ts: str | None = None, delay: str | None = None, salts: int = 16
 ) -> DataFrame:
-    """Keys seen for the first time. With ``ts``, state older than the watermark is dropped."""
+    """Keys seen for the first time. With ``ts``, state older than the watermark is dropped.
+
+    A stream drops duplicates only behind the shuffle. So a first round drops them per key and
+    group of scan tasks, and the second one gets at most ``salts`` rows per key and batch. The
+    groups only decide where a copy is dropped, not whether.
+    """
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")
     if ts is None:
-        return stream.select(*key).dropDuplicates(key)
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key).select(*key)
+        groups = stream.select(*key, salt).dropDuplicates([*key, "_salt"])
+        return groups.select(*key).dropDuplicates(key)
+    groups = stream.withWatermark(ts, delay).select(*key, ts, salt)
+    first = groups.dropDuplicatesWithinWatermark([*key, "_salt"])
+    return first.dropDuplicatesWithinWatermark(key).select(*key)
 
 
 def stream_loss_history(
