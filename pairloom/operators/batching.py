@@ -63,9 +63,15 @@ def _shuffle_positions(
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_u", *key))
     return (
         keyed.withColumn("_rank", inside)
-        # Every bucket has its offset; an outer join adds no null test, hence no second digest.
+        # Every bucket has its offset. The outer join and the coalesce keep the optimizer from
+        # testing the bucket for null first, which would take every digest twice.
         .join(F.broadcast(offsets), "_bucket", "left")
-        .withColumn(out, F.col("_offset") + F.col("_rank") - 1)
+        .withColumns(
+            {
+                out: F.coalesce("_offset", F.lit(0)) + F.col("_rank") - 1,
+                "_total": F.coalesce("_total", F.lit(0)),
+            }
+        )
         .drop("_u", "_bucket", "_rank", "_offset")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.batching import last_rows
+from pairloom.operators.rows import unnest_structs
 
 
 def windowed_loss(
@@ -27,11 +28,26 @@ def windowed_loss(
         .filter(F.col("n") == every)
     )
     if ts is not None:
-        # The window before is found by its number: an equi-join, not a sort per worker.
-        before = per_worker.select("worker", (F.col("window_no") + 1).alias("window_no"), F.col("ended").alias("since"))
-        per_worker = per_worker.join(before, ["worker", "window_no"], "left").withColumn(
-            "speed",
-            F.try_divide(F.lit(float(every)), F.col("ended") - F.coalesce("since", "started")),
+        # Each window also tells the next one when it ended. The two meet in a small aggregate: the
+        # log is read once, and no worker is sorted in one task.
+        none = F.lit(None).cast("double")
+        own = F.struct("window_no", "mean_loss", "started", "ended", none.alias("since"))
+        told = F.struct(
+            (F.col("window_no") + 1).alias("window_no"),
+            none.alias("mean_loss"),
+            none.alias("started"),
+            none.alias("ended"),
+            F.col("ended").alias("since"),
+        )
+        per_worker = (
+            unnest_structs(per_worker, ["worker"], F.array(own, told), "window_no")
+            .groupBy("worker", "window_no")
+            .agg(*[F.max(c).alias(c) for c in ("mean_loss", "started", "ended", "since")])
+            .filter(F.col("mean_loss").isNotNull())
+            .withColumn(
+                "speed",
+                F.try_divide(F.lit(float(every)), F.col("ended") - F.coalesce("since", "started")),
+            )
         )
     out = [F.count("*").alias("workers"), F.avg("mean_loss").alias("mean_loss")]
     if ts is not None:
