@@ -146,7 +146,7 @@ def assign_shards(
         places = F.sequence(F.col("pos"), F.col("shard_size") * world - 1, F.col("_total"))
         placed = placed.withColumn("pos", F.explode(places))
     return placed.withColumns(
-        {"shard": (F.col("pos") % world).cast("int"), "slot": F.floor(F.col("pos") / world)}
+        {"shard": F.col("pos") % world, "slot": F.floor(F.col("pos") / world)}
     ).drop("_total")
 
 

@@ -61,7 +61,7 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
         return F.struct(F.split(name, "").alias("chars"), F.lit(a).alias("a"), F.lit(b).alias("b"))
 
     def gram(n: int) -> Column:
-        letters = [F.get("chars", F.col("at") + k) for k in range(1, n)]
+        letters = [F.get("chars", (F.col("at") + k).cast("int")) for k in range(1, n)]
         # Beyond the end a letter is null, and so is the gram.
         return F.struct(F.lit(n).alias("n"), F.concat("letter", *letters).alias("gram"))
 

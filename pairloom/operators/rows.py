@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def unnest(df: DataFrame, keep: list[Column | str], array: Column | str, value: str, pos: str) -> DataFrame:
     """One row per element: ``keep``, the place ``pos`` and the element ``value``."""
-    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+    return rows.withColumn(pos, F.col(pos).cast("bigint"))
 
 
 def unnest_structs(df: DataFrame, keep: list[Column | str], array: Column, present: str) -> DataFrame:

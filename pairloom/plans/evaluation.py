@@ -36,7 +36,7 @@ def exact_match(spark, sf):
     return out.withColumn("exact_match", F.round("exact_match", 6))
 
 
-@query("edit_distance", f"WITH {_P} SELECT pair_id, levenshtein(target, pred) AS lev FROM pairs")
+@query("edit_distance", f"WITH {_P} SELECT pair_id, levenshtein(target, pred)::INT AS lev FROM pairs")
 def edit_distance(spark, sf):
     return ev.edit_distance(fx.part_pairs(spark, sf)).select("pair_id", "lev")
 
@@ -125,7 +125,7 @@ def pair_validity(spark, sf):
 
 _REPORT = (
     f"report AS (SELECT pair_id, target AS ground_truth, pred AS prediction, ({_SAME} AND {_BOTH})::INT AS exact, "
-    f"{_BOTH}::INT AS valid, levenshtein(target, pred) AS lev FROM pairs)"
+    f"{_BOTH}::INT AS valid, levenshtein(target, pred)::INT AS lev FROM pairs)"
 )
 
 

@@ -180,7 +180,7 @@ def predictions(spark: SparkSession, sf: str, coefs: DataFrame) -> DataFrame:
 
     ``eps_hat`` is the true noise and a tenth of another one; ``v`` is uniform in [-1, 1).
     """
-    rows = spread(vectors(spark, sf), "vec_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    rows = spread(vectors(spark, sf), "vec_id").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))))
     noisy = noise.add_noise(rows, coefs, ["vec_id", "t"], "x", DIMS, SEED + 3)
     other = normal_vector(SEED + 4, DIMS, "vec_id", "t")
     return noisy.select(

@@ -111,7 +111,7 @@ def ema_value(spark, sf):
     "q AS (SELECT label, x, i, unnest(range(0, 64)) AS j FROM p), "
     "s AS (SELECT label::VARCHAR AS grp, i, j, count(*) AS n, avg(x[i + 1]) AS mean_i, avg(x[j + 1]) AS mean_j, "
     "covar_samp(x[i + 1], x[j + 1]) AS cov FROM q GROUP BY ALL) "
-    f"SELECT grp, i, j, n, {sql.r6('mean_i')} AS mean_i, {sql.r6('cov')} AS cov FROM s",
+    f"SELECT grp, i::INT AS i, j::INT AS j, n, {sql.r6('mean_i')} AS mean_i, {sql.r6('cov')} AS cov FROM s",
 )
 def vector_moments(spark, sf):
     moments = vec.vector_moments(fx.vectors(spark, sf), "x", F.col("label"))

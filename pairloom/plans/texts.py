@@ -104,7 +104,7 @@ _SEP = "Q[CLS]"
 @query(
     "explode_views",
     "WITH v AS (SELECT p_partkey, unnest([CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END, p_type || ' ' || p_brand]) "
-    "AS view, unnest([0, 1]) AS view_no FROM part) "
+    "AS view, unnest([0::BIGINT, 1]) AS view_no FROM part) "
     "SELECT p_partkey, view_no, upper(view) AS view FROM v WHERE view <> ''",
 )
 def explode_views(spark, sf):
@@ -165,8 +165,7 @@ def sentence_split(spark, sf):
 
 @query("sentence_regroup", f"WITH {_DOC_GROUPS} SELECT doc_id, g::BIGINT AS pos, grp AS sentences FROM groups")
 def sentence_regroup(spark, sf):
-    rows = unnest(_groups(spark, sf), ["doc_id"], "g", "sentences", "pos")
-    return rows.withColumn("pos", F.col("pos").cast("bigint"))
+    return unnest(_groups(spark, sf), ["doc_id"], "g", "sentences", "pos")
 
 
 _PICK = (
@@ -210,7 +209,7 @@ def describe_level(spark, sf):
 @query(
     "tokenize",
     f"WITH t AS (SELECT doc_id, {sql.tokens('text', VOCAB)} AS toks FROM documents) "
-    "SELECT doc_id, len(toks) AS n_tokens, array_to_string(toks, '|') AS toks FROM t",
+    "SELECT doc_id, len(toks)::INT AS n_tokens, array_to_string(toks, '|') AS toks FROM t",
 )
 def tokenize(spark, sf):
     toks = _documents(spark, sf).select("doc_id", tk.tokenize("text", VOCAB).alias("toks"))
@@ -221,7 +220,7 @@ _LEN = enc.MAX_LEN
 _ENCODED = (
     f"enc_t AS (SELECT doc_id, {sql.tokens('text', VOCAB)} AS toks FROM documents), "
     f"enc_v AS (SELECT {sql.vocab_map(VOCAB)} AS m), "
-    "enc AS (SELECT doc_id, len(toks) AS n_tokens, "
+    "enc AS (SELECT doc_id, len(toks)::INT AS n_tokens, "
     f"list_concat(list_transform(toks[1:{_LEN}], lambda t: m[t]::INT), "
     f"list_transform(range(0, greatest({_LEN} - len(toks), 0)), lambda i: 0)) AS ids FROM enc_t, enc_v)"
 )
@@ -241,7 +240,7 @@ def encode_ids(spark, sf):
     f"WITH enc_t AS (SELECT p_partkey, {sql.tokens('p_name', VOCAB)} AS toks FROM part), "
     f"enc_v AS (SELECT {sql.vocab_map(VOCAB)} AS m), "
     "w AS (SELECT p_partkey, toks, p_partkey // 16 AS batch_no, "
-    f"least(max(len(toks)) OVER (PARTITION BY p_partkey // 16), {_LEN}) AS width FROM enc_t) "
+    f"least(max(len(toks)) OVER (PARTITION BY p_partkey // 16), {_LEN})::INT AS width FROM enc_t) "
     "SELECT p_partkey, batch_no, width, array_to_string(list_concat(list_transform(toks[1:width], lambda t: m[t]::INT), "
     "list_transform(range(0, greatest(width - len(toks), 0)), lambda i: 0)), ',') AS ids FROM w, enc_v",
 )
