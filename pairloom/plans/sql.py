@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.functions import text as tx
+from pairloom.functions.rand import MIX_A, MIX_B, STRIDE
 from pairloom.functions.tokens import CLS, SEP, Vocabulary
 
 
@@ -22,22 +23,33 @@ def u_int(seed: int, lo: int, hi: int, *keys: object) -> str:
     return f"({lo} + floor({u(seed, *keys)} * {hi - lo + 1}))::BIGINT"
 
 
-def _part(digest: str, start: str) -> str:
-    return f"(('0x' || substr({digest}, {start}, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)"
+def _let(expr: str, name: str, body: str) -> str:
+    return f"list_transform([{expr}], lambda {name}: {body})[1]"
+
+
+def _mixed(values: str) -> str:
+    """The integer mixer over a list."""
+    for shift, factor in ((16, MIX_A), (15, MIX_B)):
+        values = f"list_transform({values}, lambda v: (xor(v, v >> {shift}) * {factor}) & 4294967295)"
+    return f"list_transform({values}, lambda v: xor(v, v >> 15))"
 
 
 def uniforms(seed: int, dims: int, *keys: object) -> str:
-    h = _digest(seed, *keys, "d // 4")
-    return f"list_transform(range(0, {dims}), lambda d: {_part(h, '1 + 8 * (d % 4)')})"
+    digest = _digest(seed, *keys)
+    first, second = (f"('0x' || substr({digest}, {at}, 8))::BIGINT" for at in (1, 9))
+    steps = f"list_transform(range(0, {dims}), lambda d: (wa + d * {STRIDE}) & 4294967295)"
+    crossed = _let(second, "wb", f"list_transform({_mixed(_let(first, 'wa', steps))}, lambda v: xor(v, wb))")
+    return f"list_transform({_mixed(crossed)}, lambda v: v::DOUBLE / 4294967296.0::DOUBLE)"
 
 
 def normals(seed: int, dims: int, *keys: object) -> str:
-    h = _digest(seed, *keys, "d // 4")
-    first, second = _part(h, "1 + 16 * ((d % 4) // 2)"), _part(h, "9 + 16 * ((d % 4) // 2)")
-    wave = f"CASE WHEN d % 2 = 0 THEN cos(2 * pi() * {second}) ELSE sin(2 * pi() * {second}) END"
-    return (
-        f"list_transform(range(0, {dims}), lambda d: "
-        f"sqrt(-2.0::DOUBLE * ln(greatest({first}, 1e-12))) * {wave})"
+    radius = "sqrt(-2.0::DOUBLE * ln(greatest(us[d // 2 * 2 + 1], 1e-12)))"
+    angle = "2 * pi() * us[d // 2 * 2 + 2]"
+    wave = f"CASE WHEN d % 2 = 0 THEN cos({angle}) ELSE sin({angle}) END"
+    return _let(
+        uniforms(seed, dims + dims % 2, *keys),
+        "us",
+        f"list_transform(range(0, {dims}), lambda d: {radius} * {wave})",
     )
 
 
