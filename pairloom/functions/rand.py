@@ -40,7 +40,7 @@ STRIDE, MIX_A, MIX_B = 0x9E3779B9, 0x21F0AAAD, 0x735A2D97
 _MASK = 0xFFFFFFFF
 
 
-def _row_words(seed: int, *keys: Column | str) -> tuple[Column, Column]:
+def row_words(seed: int, *keys: Column | str) -> tuple[Column, Column]:
     """Two 32-bit words of the digest of a row's keys."""
     digest = _digest(seed, *keys)
     return _hex_number(digest, 1, 8), _hex_number(digest, 9, 8)
@@ -53,9 +53,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(15))
 
 
-def _uniforms(first: pa.Array, second: pa.Array, entries: int) -> np.ndarray:
+def _numbers(words: pa.Array) -> np.ndarray:
+    return words.to_numpy(zero_copy_only=False)
+
+
+def _uniforms(first: np.ndarray, second: np.ndarray, entries: int) -> np.ndarray:
     """A row of uniforms per pair of words: both words are mixed with the number of the entry."""
-    a, b = (w.to_numpy(zero_copy_only=False).astype(np.uint64)[:, None] for w in (first, second))
+    a, b = (w.astype(np.uint64)[:, None] for w in (first, second))
     steps = np.arange(entries, dtype=np.uint64) * np.uint64(STRIDE)
     return _mix(_mix((a + steps) & np.uint64(_MASK)) ^ b).astype(np.float64) / 2.0**32
 
@@ -71,24 +75,29 @@ def uniform_vector(seed: int, dims: int, *keys: Column | str) -> Column:
 
     @F.arrow_udf("array<double>")
     def draw(first: pa.Array, second: pa.Array) -> pa.Array:
-        return _lists(_uniforms(first, second, dims))
+        return _lists(_uniforms(_numbers(first), _numbers(second), dims))
+
+    return draw(*row_words(seed, *keys))
+
 
-    return draw(*_row_words(seed, *keys))
+def normals_of(first: np.ndarray, second: np.ndarray, dims: int) -> np.ndarray:
+    """Inside a task: a row of standard normals per pair of words, by Box-Muller."""
+    u = _uniforms(first, second, dims + dims % 2)
+    radius = np.sqrt(-2.0 * np.log(np.maximum(u[:, 0::2], _TINY)))
+    angle = 2.0 * np.pi * u[:, 1::2]
+    pairs = np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=2)
+    return pairs.reshape(len(u), -1)[:, :dims]
 
 
 def normal_vector(seed: int, dims: int, *keys: Column | str) -> Column:
-    """``dims`` standard normals per row, by Box-Muller on pairs of uniforms.
+    """``dims`` standard normals per row.
 
     Spark digests the keys of a row; numpy draws the entries of a whole Arrow batch. The same draws
-    as higher-order functions run interpreted, entry by entry, and take about ten times as long.
+    as higher-order functions run interpreted, entry by entry, and take several times as long.
     """
 
     @F.arrow_udf("array<double>")
     def draw(first: pa.Array, second: pa.Array) -> pa.Array:
-        u = _uniforms(first, second, dims + dims % 2)
-        radius = np.sqrt(-2.0 * np.log(np.maximum(u[:, 0::2], _TINY)))
-        angle = 2.0 * np.pi * u[:, 1::2]
-        pairs = np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=2)
-        return _lists(pairs.reshape(len(u), -1)[:, :dims])
+        return _lists(normals_of(_numbers(first), _numbers(second), dims))
 
-    return draw(*_row_words(seed, *keys))
+    return draw(*row_words(seed, *keys))

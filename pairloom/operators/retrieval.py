@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.rand import normal_vector, uniform_int
-from pairloom.functions.vectors import combine, sum_of_squares, to_double
-from pairloom.operators.blocks import batch_products
-from pairloom.operators.noise import with_schedule
+from pairloom.functions.rand import normals_of, row_words, uniform_int
+from pairloom.functions.vectors import sum_of_squares, to_double
+from pairloom.operators.blocks import batch_products, list_column, matrix
+from pairloom.operators.noise import held
 from pairloom.operators.rows import unnest
 from pairloom.operators.vectors import top_k
 from pairloom.session import place
@@ -17,6 +19,27 @@ from pairloom.session import place
 TIE_DIGITS = 9
 
 
+def _fold_rounds(alpha_bars: np.ndarray, dims: int):
+    """Rounds of a query folded to one vector: its weight per entry, for ``|c|^2``, and a constant."""
+
+    @F.arrow_udf("array<double>")
+    def fold(query: pa.Array, t: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        rows = len(query)
+        x = matrix(query, rows)
+        ab = alpha_bars[matrix(t, rows).astype(np.int64)]
+        rounds = ab.shape[1]
+        words = [w.flatten().to_numpy(zero_copy_only=False) for w in (first, second)]
+        eps = normals_of(*words, dims).reshape(rows, rounds, dims)
+        noisy = np.sqrt(ab)[:, :, None] * x[:, None, :] + np.sqrt(1.0 - ab)[:, :, None] * eps
+        scale = 1.0 / ((1.0 - ab) * dims)
+        left = ((-2.0 * np.sqrt(ab) * scale)[:, :, None] * noisy).sum(axis=1)
+        square = (ab * scale).sum(axis=1, keepdims=True)
+        constant = ((noisy**2).sum(axis=2) * scale).sum(axis=1, keepdims=True)
+        return list_column(np.concatenate([left, square, constant], axis=1))
+
+    return fold
+
+
 def score_candidates(
     df: DataFrame,
     coefs: DataFrame,
@@ -35,43 +58,30 @@ def score_candidates(
     Step and noise are drawn once per query and round and shared by all candidates. The error of a
     candidate c in a round is ``mean((x_t - sqrt(ab) c)^2) / (1 - ab)``. That is a constant, a dot
     product with c and a multiple of ``|c|^2``, and all three add up over the rounds. So the rounds
-    are folded per query first, and each pair costs one dot product instead of ``n_iter``.
-
-    One shuffle, by batch: the rounds are expanded and folded where the batch already is.
+    are folded per query, row by row, and each pair costs one dot product instead of ``n_iter``.
+    The only shuffle is the one by batch. The schedule (at most MAX_STEPS numbers) goes with the
+    function.
     """
-    ab, rest = F.col("alpha_bar"), F.col("_one_minus")
-    rounds = place(df, batch).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
-    drawn = rounds.withColumn("_t", uniform_int(seed, lo, hi, "_round", pos))
-    placed = with_schedule(drawn, coefs, ["alpha_bar"], "_t").withColumn("_one_minus", 1.0 - ab)
-    noisy = placed.withColumn(
-        "_x_t",
-        combine(to_double(query), normal_vector(seed + 1, dims, "_round", pos), F.sqrt(ab), F.sqrt(rest)),
-    )
-    terms = noisy.withColumns(
-        {
-            "_const": sum_of_squares("_x_t") / (rest * dims),
-            "_left": F.concat(
-                F.transform("_x_t", lambda v: v * (-2.0 * F.sqrt(ab) / (rest * dims))),
-                F.array(ab / (rest * dims)),
-            ),
-        }
+    table = held(coefs.select("t", "alpha_bar")).toArrow().sort_by("t")
+    fold = _fold_rounds(table["alpha_bar"].to_numpy(), dims)
+    rounds = [F.lit(r) for r in range(n_iter)]
+    words = [row_words(seed + 1, r, pos) for r in rounds]
+    folded = df.withColumn(
+        "_f",
+        fold(
+            to_double(query),
+            F.array(*[uniform_int(seed, lo, hi, r, pos) for r in rounds]),
+            F.array(*[a for a, _ in words]),
+            F.array(*[b for _, b in words]),
+        ),
     )
-    kept = [c for c in df.columns if c not in (query, candidate, batch, pos)]
-    folded = terms.groupBy(batch, pos).agg(
-        *[F.first(c).alias(c) for c in kept],
-        F.sum("_const").alias("_const"),
-        F.collect_list("_left").alias("_lefts"),
-        F.first(to_double(candidate)).alias("_c"),
+    kept = [c for c in df.columns if c not in (query, candidate)]
+    both = place(folded.select(*kept, to_double(candidate).alias("_c"), "_f"), batch).select(
+        *kept,
+        F.element_at("_f", dims + 2).alias("_const"),
+        F.slice("_f", 1, dims + 1).alias("_left"),
+        F.concat("_c", F.array(sum_of_squares("_c"))).alias("_right"),
     )
-    zeros = F.array_repeat(F.lit(0.0), dims + 1)
-    both = folded.withColumns(
-        {
-            "_left": F.aggregate(
-                "_lefts", zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)
-            ),
-            "_right": F.concat("_c", F.array(sum_of_squares("_c"))),
-        }
-    ).drop("_lefts", "_c")
     products = batch_products(both, [batch], pos, "_left", "_right")
     return products.withColumn(
         "scores", F.transform("products", lambda p: p + F.col("_const"))
