@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import check  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from pairloom.plans.registry import ORACLES, QUERIES  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,7 +23,7 @@ def con():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     _, rows, verdict = check.compare(spark, con, name, SF_DIR)
     assert verdict.startswith(("ok", "rows")), verdict
@@ -35,4 +36,4 @@ def test_entry(spark):
 
 
 def test_only_the_frechet_distance_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"frechet_labels"}
+    assert set(QUERIES) - set(ORACLES) == {"frechet_labels"}
