@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pairloom.session import scratch_dir, shuffle_width
 
 SHARD_BYTES = 2 << 20
+MAX_SLOTS = 1 << 16  # rows of a shard, so that shard * MAX_SLOTS + slot is one long
 SHARD_SCHEMA = "shard long, ids array<long>, sizes array<int>, blob binary"
 NAMES_SCHEMA = "bucket int, shard long, n long, names binary, extra binary"
 NOTES_SCHEMA = "shard long, kind int, bucket int, bits binary"
@@ -46,13 +47,14 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 24
     for batch in batches:
         raw, at, null = _flat(batch.column(1))
         ids = batch.column(0)
         first = 0
         while first < len(ids):
             last = max(first + 1, int(np.searchsorted(at, at[first] + target, "right")) - 1)
+            last = min(last, first + MAX_SLOTS)
             sizes = np.where(null[first:last], -1, np.diff(at[first : last + 1])).astype(np.int32)
             # Null texts have no bytes of their own in Arrow's layout from Spark.
             blob = squeeze(raw[at[first] : at[last]].tobytes(), 3)
