@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import jaccard, repeats
+from pairloom.llm import decontaminate, jaccard, mixing, repeats
+from pairloom.plans.sql import u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +38,86 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "n AS n_shingles", "component AS component_id")
+
+
+SPLIT_WORDS = r"""regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op2_decontaminate",
+    f"""
+WITH d AS (SELECT doc_id, coalesce({SPLIT_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {SPLIT_WORDS} AS w FROM benchmark),
+spans AS (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM spans)),
+runs AS (
+  SELECT doc_id, k, s, array_to_string(w[s : s + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+        FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, s, k, item_id FROM runs JOIN windows USING (k, phrase)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY 1),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.decontaminate(docs, items))
+
+
+MIX = f"""
+sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size,
+    {u(mixing.SEED, "doc_id", "source")} AS u
+  FROM documents),
+sources AS (
+  SELECT source, source_size, rank, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+        FROM sized GROUP BY source)),
+levels AS (
+  SELECT *, most / weight AS ratio,
+    (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER before, 0)) /
+      (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM sources WINDOW before AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT ratio AS cut_ratio, rank AS cut_rank, level AS chosen FROM levels WHERE level <= ratio ORDER BY ratio, rank LIMIT 1),
+plan AS (
+  SELECT source, source_size, rank,
+    CASE WHEN (ratio, rank) >= (cut_ratio, cut_rank) THEN least(most, chosen * weight) ELSE most END AS target
+  FROM levels LEFT JOIN cut ON true),
+placed AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (
+      PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
+  FROM sized),
+laps AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) ELSE 0 END AS whole
+  FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source),
+mixed AS (
+  SELECT doc_id, size, source_size, target,
+    (whole * size + greatest(0, least(size, floor(target) - whole * source_size - start_at)))::BIGINT AS taken,
+    start_at / target AS share, [1.5, 1.0, 0.5][rank % 3 + 1]::DOUBLE AS a, [0.5, 1.0, 1.5][rank % 3 + 1]::DOUBLE AS b
+  FROM laps)"""
+
+
+@query(
+    "op6_curriculum_mix",
+    f"""WITH {MIX}
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN 2.0::DOUBLE * share / (a + sqrt(a * a + 2.0::DOUBLE * (b - a) * share)) END AS first_position
+FROM mixed""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.curriculum(docs).drop("text")
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")
+    )
