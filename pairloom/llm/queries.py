@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, jaccard, mixing, quality, repeats
+from pairloom.llm import decontaminate, jaccard, mixing, neighbours, quality, repeats, toxicity
 from pairloom.plans.sql import u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, rules).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+@query("op5_hilbert_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
