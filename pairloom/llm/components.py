@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +18,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch of edges as stars of the same components."""
+def spanning(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of edges as stars of the same components."""
     for batch in batches:
         parent: dict[int, int] = {}
 
@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(
         edges.select(F.col("u").cast("long"), F.col("v").cast("long"))
         .filter("u <> v")
-        .mapInArrow(_forest, "u long, v long")
+        .mapInArrow(spanning, "u long, v long")
         .distinct(),
         "edges",
     )

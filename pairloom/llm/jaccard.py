@@ -7,10 +7,12 @@ least ``percent`` share a shingle among the first ``n - ceil(percent * n / 100)
 2. Shingles in the lower part of the hash range are counted over all classes: those in one class
    only are never sent, frequent ones come last in the order.
 3. Classes with the same size and the same prefix are one group with one entry per shingle.
-4. Every group meets the hub it shares most with, every member the first of its group; verified
-   links give components. Groups that share a shingle but not a component are filtered by size and
-   position, expanded into members, and verified too. So no link between components is missed,
-   and a large group of near copies costs one pair per member instead of all pairs.
+4. Groups of several members, and groups that meet at a crowded shingle, form families. The members of a
+   family are compared in blocks of similar size, inside a task each: a large group of near copies
+   sends a set once per pair of blocks, and its pairs never become rows.
+5. At the other shingles every group first meets the one it shares most with; links give components.
+   Then all pairs of groups that share a shingle but not a component are filtered by size, position and
+   common prefix, expanded into members, and verified. So no link between components is missed.
 
 A shingle is a 64-bit hash; sets are compared whole.
 """
@@ -22,15 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm import shards as sh
-from pairloom.llm.components import components, written
+from pairloom.llm.components import components, spanning, written
 from pairloom.llm.words import LOWER, NOT_SPACE, find_words, hash_words, shingle_hashes
 
 WORDS, PERCENT = 5, 80
 FREQUENT = 16  # classes; a shingle in more of them comes last in the order
+CROWD = 32  # groups; those at a shingle with more are compared block by block
+BLOCK_ROWS = 256
 COUNTED = 0.45  # of the hash range: a prefix is a fifth of a set, frequent shingles left out
 NAME_BITS = 48
 CHOSEN, COUNTS = 1, 2
@@ -179,6 +183,183 @@ def _verify(shards: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
 
 
+def _size_ok(a: str, b: str, percent: int) -> Column:
+    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+
+def _enough(shared: str, a: str, b: str, percent: int) -> Column:
+    """Whether two sets that share so many tokens of their prefixes can share enough in all.
+
+    Beyond the prefix that ends first there are ``ceil(percent * n / 100) - 1`` tokens.
+    """
+    rest = f"greatest(ceil({percent} * {a} / 100), ceil({percent} * {b} / 100)) - 1"
+    return F.expr(f"{100 + percent} * ({shared} + {rest}) >= {percent} * ({a} + {b})")
+
+
+def _placed(members: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """Members with ``root``, their component so far."""
+    found = members.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return written(found, label)
+
+
+def _open_entries(entries: DataFrame, placed: DataFrame) -> DataFrame:
+    """Entries with the components ``lo`` to ``hi`` of their group, at shingles where several components meet."""
+    span = placed.groupBy(F.col("hub").alias("node")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    own = entries.join(span, "node")
+    several = own.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"))
+    return own.join(several.filter("l <> h").select("token"), "token")
+
+
+def _hub_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """For each group the one it shares most shingles with, among the first groups of its shingles."""
+    hubs = entries.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"))
+    return (
+        entries.join(hubs, "token")
+        .filter((F.col("node") != F.col("h.node")) & _size_ok("n", "h.n", percent))
+        .groupBy("node", F.col("h.node").alias("hub"))
+        .count()
+        .groupBy("node")
+        .agg(F.max(F.struct("count", "hub")).alias("best"))
+        .select("best.hub", "node")
+    )
+
+
+def _pairs(entries: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components that pass the filters; a shingle has at most CROWD entries."""
+    open_ = _open_entries(entries, placed)
+    a, b = open_.alias("a"), open_.alias("b")
+    # Through a common shingle at these places at most so many can be shared.
+    most = F.expr("least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos)")
+    pairs = (
+        a.join(
+            b,
+            (F.col("a.token") == F.col("b.token"))
+            & (F.col("a.node") < F.col("b.node"))
+            & (F.least("a.lo", "b.lo") != F.greatest("a.hi", "b.hi"))
+            & _size_ok("a.n", "b.n", percent)
+            & ((100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))),
+        )
+        .groupBy(F.col("a.node").alias("g"), F.col("b.node").alias("h"), F.col("a.n").alias("gn"), F.col("b.n").alias("hn"))
+        .count()
+        .filter(_enough("count", "gn", "hn", percent))
+        .select("g", "h")
+    )
+    left = placed.select(F.col("hub").alias("g"), F.col("node").alias("x"), F.col("root").alias("rx"))
+    right = placed.select(F.col("hub").alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))
+    crossing = (
+        pairs.join(left, "g")
+        .join(right, "h")
+        .filter("rx <> ry")
+        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        .distinct()
+    )
+    crossing = written(crossing, "crossing")
+    # The set of the one with more pairs travels: one copy serves all documents of a shard.
+    ends = crossing.select(F.explode(F.array("x", "y")).alias("x")).groupBy("x").count()
+    both = crossing.join(ends.withColumnRenamed("count", "cx"), "x").join(ends.toDF("y", "cy"), "y")
+    return both.select(
+        F.when(F.col("cx") >= F.col("cy"), F.col("x")).otherwise(F.col("y")).alias("hub"),
+        F.when(F.col("cx") >= F.col("cy"), F.col("y")).otherwise(F.col("x")).alias("node"),
+    )
+
+
+def _families(crowded: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (``node``, ``n``) of groups that crowded shingles connect, and of groups of several members:
+    ``family``. Documents of different families share no crowded shingle and no prefix."""
+    hubs = crowded.groupBy("token").agg(F.min("node").alias("h"))
+    edges = crowded.join(hubs, "token").select(F.col("node").alias("u"), F.col("h").alias("v"))
+    found = components(edges)
+    several = members.filter("node <> hub").select("hub").union(crowded.select("node")).distinct()
+    family = several.join(found, F.col("hub") == F.col("node"), "left").select(
+        "hub", F.coalesce("root", "hub").alias("family")
+    )
+    return members.join(family, "hub").select("node", "n", "family")
+
+
+BLOCK = "family long, c int, s int, d int, t int, second boolean, node long, content binary"
+BLOCK_ARROW = pa.schema(
+    [("family", pa.int64()), *((x, pa.int32()) for x in "csdt"), ("second", pa.bool_()), ("node", pa.int64()), ("content", pa.binary())]
+)
+
+
+def _blocks(people: DataFrame, percent: int) -> DataFrame:
+    """Which blocks of a family are compared: class c with its own blocks and those of the next class.
+
+    Sizes that can link differ by less than a class. ``places`` are the pairs of blocks of a member.
+    """
+    width = float(np.log(100 / percent) * 1.01)
+    classed = people.withColumn("c", F.floor(F.log("n") / F.lit(width)).cast("int"))
+    counts = classed.groupBy("family", "c").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("m"))
+    near = lambda step, name: counts.select("family", (F.col("c") + step).alias("c"), F.col("m").alias(name))
+    wide = (
+        classed.join(counts, ["family", "c"])
+        .join(near(-1, "above"), ["family", "c"], "left")
+        .join(near(1, "below"), ["family", "c"], "left")
+        .withColumn("s", F.pmod(F.hash("node"), F.col("m")))
+    )
+    upto = lambda m: f"CASE WHEN {m} IS NULL THEN cast(array() AS array<int>) ELSE sequence(0, {m} - 1) END"
+    places = f"""concat(
+      transform(sequence(0, m - 1), x -> struct(c AS c, least(s, x) AS s, c AS d, greatest(s, x) AS t, s > x AS second)),
+      transform({upto("above")}, x -> struct(c AS c, s AS s, c + 1 AS d, x AS t, false AS second)),
+      transform({upto("below")}, x -> struct(c - 1 AS c, x AS s, c AS d, s AS t, true AS second)))"""
+    return wide.select(F.shiftright("node", 16).alias("shard"), "node", "family", F.expr(places).alias("places"))
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over shingles that occur twice."""
+    values = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    column = column.reshape(-1)
+    often = counts > 1
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(often.sum()), 8192):
+        lo, hi = np.searchsorted(column, [start, start + 8192])
+        part = np.zeros((len(a) + len(b), 8192), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        total += part[: len(a)] @ part[len(a) :].T
+    return total.astype(np.int64)
+
+
+def _crowd_links(shards: DataFrame, people: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links inside families, block by block. A set travels once per pair of blocks; pairs never are rows."""
+
+    def send(shard: sh.Shard, requests: pa.Table) -> Iterator[pa.RecordBatch]:
+        nodes = requests["node"].to_pylist()
+        sets = _sets(shard, np.asarray(nodes, np.int64) % sh.MAX_SLOTS, k)
+        rows = []
+        for node, family, places, s in zip(nodes, requests["family"].to_pylist(), requests["places"].to_pylist(), sets, strict=True):
+            content = sh.pack_sorted(s)
+            rows += [(family, p["c"], p["s"], p["d"], p["t"], p["second"], node, content) for p in places]
+        yield sh.rows_batch(rows, BLOCK_ARROW)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        second = np.asarray(rows["second"])
+        node = np.asarray(rows["node"])
+        sets = [sh.unpack_sorted(x) for x in rows["content"].to_pylist()]
+        first, other = np.flatnonzero(~second), np.flatnonzero(second)
+        if (rows["c"][0], rows["s"][0]) == (rows["d"][0], rows["t"][0]):
+            other = first
+        size = np.array([len(x) for x in sets])
+        links = np.zeros((0, 2), np.int64)
+        if len(first) and len(other):
+            common = _common([sets[i] for i in first], [sets[i] for i in other])
+            union = size[first][:, None] + size[other][None, :] - common
+            x, y = np.nonzero(100 * common >= percent * union)
+            links = np.stack((node[first[x]], node[other[y]]), 1)
+            links = links[links[:, 0] < links[:, 1]] if other is first else links
+        batch = pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=LINKS_ARROW)
+        return pa.Table.from_batches(list(spanning([batch])), schema=LINKS_ARROW)
+
+    blocks = sh.with_notes(shards, _blocks(people, percent), send, BLOCK)
+    return blocks.groupBy("family", "c", "s", "d", "t").applyInArrow(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``node``, ``id``, ``n`` (set size) and ``component`` (smallest id reachable by links).
 
@@ -186,7 +367,6 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     an empty set and is linked with nothing: its component is its own id. Null ids never are the
     smallest; a component of null ids has a null component.
     """
-    size_ok = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
     shards = sh.pack(docs)
     rows = written(sh.per_shard(shards, lambda s: _documents(s, k), DOCS), "sets")
     key = ["n", "low", "high"]
@@ -214,52 +394,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         "entries",
     )
 
-    hubs = entries.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"))
-    near = (
-        entries.join(hubs, "token")
-        .filter((F.col("node") != F.col("h.node")) & size_ok("n", "h.n"))
-        .groupBy("node", F.col("h.node").alias("hub"))
-        .count()
-        .groupBy("node")
-        .agg(F.max(F.struct("count", "hub")).alias("best"))
-        .select("best.hub", "node")
-    )
-    first = near.union(members.filter("node <> hub").select("hub", "node"))
-    links = written(_verify(shards, first, k, percent), "links")
-    found = components(links)
-
-    placed = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed, "placed")
-    span = placed.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_ = entries.join(span.withColumnRenamed("hub", "node"), "node")
-    a, b = open_.alias("a"), open_.alias("b")
-    # Through a common shingle at these places at most so many can be shared.
-    most = F.expr("least(a.pos, b.pos) + 1 + least(a.n - a.pos, b.n - b.pos) - 1")
-    pairs = (
-        a.join(
-            b,
-            (F.col("a.token") == F.col("b.token"))
-            & (F.col("a.node") < F.col("b.node"))
-            & ((F.least("a.lo", "b.lo") != F.greatest("a.hi", "b.hi")))
-            & size_ok("a.n", "b.n")
-            & ((100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))),
-        )
-        .select(F.col("a.node").alias("g"), F.col("b.node").alias("h"))
-        .distinct()
-    )
-    inside = span.filter("lo <> hi").select(F.col("hub").alias("g"), F.col("hub").alias("h"))
-    left = placed.select(F.col("hub").alias("g"), F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = placed.select(F.col("hub").alias("h"), F.col("node").alias("y"), F.col("root").alias("ry"))
-    crossing = (
-        pairs.union(inside)
-        .join(left, "g")
-        .join(right, "h")
-        .filter("rx <> ry")
-        .select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node"))
-        .distinct()
-    )
-    more = _verify(shards, crossing, k, percent)
-    found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    crowds = entries.groupBy("token").agg((F.count("*") > CROWD).alias("crowded"))
+    entries = written(entries.join(crowds, "token"), "crowds")
+    crowded, entries = entries.filter("crowded").drop("crowded"), entries.filter("NOT crowded").drop("crowded")
+    people = written(_families(crowded, members), "families")
+    edges = _crowd_links(shards, people, k, percent).union(_verify(shards, _hub_pairs(entries, percent), k, percent))
+    edges = written(edges, "links")
+    placed = _placed(members, edges, "placed")
+    more = _verify(shards, _pairs(entries, placed, percent), k, percent)
+    found = components(edges.union(more))
 
     roots = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = written(roots, "roots")
