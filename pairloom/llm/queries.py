@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import decontaminate, jaccard, mixing, neighbours, quality, repeats, toxicity, warc
+from pairloom.llm import chat, decontaminate, jaccard, mixing, neighbours, quality, repeats, toxicity, warc
 from pairloom.plans.sql import u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op9_tool_calls")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.as_tool_calls(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.SCHEMAS)
