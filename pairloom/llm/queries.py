@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import chat, decontaminate, jaccard, mixing, neighbours, quality, repeats, toxicity, warc
+from pairloom.llm import chat, decontaminate, jaccard, lm, mixing, neighbours, quality, repeats, toxicity, warc
 from pairloom.plans.sql import u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat.as_tool_calls(table(spark, sf_dir, "conversations"))
     return chat.link(calls, results, chat.SCHEMAS)
+
+
+@query("op8_attention_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

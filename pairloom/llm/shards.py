@@ -146,8 +146,8 @@ NOTES_ARROW = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("bucket",
 Judge = Callable[[np.ndarray, list, np.ndarray], np.ndarray]
 
 
-def answer(names: DataFrame, kind: int, judge: Judge) -> DataFrame:
-    """Sort every bucket and send each shard one byte per name it sent (NOTES_SCHEMA).
+def answer(names: DataFrame, kind: int, judge: Judge, dtype: str = "u1") -> DataFrame:
+    """Sort every bucket and send each shard one value (a byte, or ``dtype``) per name it sent (NOTES_SCHEMA).
 
     ``judge(names, extras, owner)`` sees a bucket: all names, the shards' extra bytes and the index
     of the sender of each name (senders in order of their shard numbers).
@@ -159,7 +159,7 @@ def answer(names: DataFrame, kind: int, judge: Judge) -> DataFrame:
         extras = [expand(x) if x else b"" for x in table["extra"].to_pylist()]
         counts = [len(x) for x in parts]
         owner = np.repeat(np.arange(len(parts)), counts)
-        out = judge(np.concatenate(parts), extras, owner).astype(np.uint8)
+        out = judge(np.concatenate(parts), extras, owner).astype(dtype)
         cuts = np.cumsum(counts)[:-1]
         bucket = table["bucket"][0].as_py()
         rows = [
@@ -171,11 +171,11 @@ def answer(names: DataFrame, kind: int, judge: Judge) -> DataFrame:
     return names.groupBy("bucket").applyInArrow(sort_bucket, NOTES_SCHEMA)
 
 
-def notes_of(table: pa.Table, kind: int) -> np.ndarray:
-    """The bytes that ``answer`` sent to a shard, in the order of its sorted names."""
+def notes_of(table: pa.Table, kind: int, dtype: str = "u1") -> np.ndarray:
+    """The values that ``answer`` sent to a shard, in the order of its sorted names."""
     mine = table.filter(pc.equal(table["kind"], kind)).sort_by("bucket")
-    parts = [np.frombuffer(expand(x), np.uint8) for x in mine["bits"].to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    parts = [np.frombuffer(expand(x), dtype) for x in mine["bits"].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
 def with_notes(shards: DataFrame, notes: DataFrame, work: Callable, schema: str) -> DataFrame:
