@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from pairloom.functions.rand import uniform
 from pairloom.session import shuffle_width
 
-# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
-RANK_LIMIT = 1000
-
 
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Concatenate by column name and number the sources in ``source_no``."""
@@ -76,45 +73,56 @@ def _shuffle_positions(
     )
 
 
+# The stretch of rows without an order, behind all others.
+_NO_STRETCH = 2**62
+
+
 def grouped_positions(
     df: DataFrame, keys: list[str], order: str, width: int = 100_000, out: str = "pos"
 ) -> DataFrame:
     """Position of every row among the rows of its keys, by a whole-number ``order`` column.
 
-    A key is cut in stretches of ``width`` order values, so a hot key is ranked by many tasks.
+    A key is cut in stretches of ``width`` order values, so a hot key is ranked by many tasks. Null keys form
+    a key of their own, and rows without an order come last in their key; every row has a position.
     """
-    cut = df.withColumn("_stretch", F.floor(F.col(order) / width))
-    before = (
-        Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    last = Window.partitionBy(*keys)
+    cut = df.withColumn("_stretch", F.coalesce(F.floor(F.col(order) / width), F.lit(_NO_STRETCH)))
+    before = last.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*keys, "_stretch")
         .count()
-        .withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .drop("count")
+        .select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+            F.col("_stretch").alias("_at"),
+            F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
+        )
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(F.asc_nulls_last(order)))
+    same = F.col("_stretch") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
     return (
         cut.withColumn("_rank", inside)
-        .join(offsets, [*keys, "_stretch"])
+        .join(offsets, same, "left")
         .withColumn(out, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_stretch", "_rank", "_offset")
+        .drop("_stretch", "_rank", "_offset", "_at", *[f"_key{i}" for i in range(len(keys))])
     )
 
 
-def last_rows(df: DataFrame, keys: list[str], order: str, n: int, width: int = 100_000) -> DataFrame:
-    """The last ``n`` rows per key by a whole-number ``order``.
+def last_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The last ``n`` rows per key by ``order``; rows without an order come before all others.
 
-    Up to RANK_LIMIT rows the rank filter also runs before the shuffle, so a hot key sends ``n``
-    rows per task. Beyond it Spark would sort a whole key in one task; then rows are counted from
-    the end in stretches.
+    A key is dealt into lots by a hash of its order: the last ``n`` of the key are among the last ``n``
+    of its lots. So many tasks rank a hot key, whatever ``n`` is, and at most ``n`` rows per lot meet. Null
+    keys form a key of their own.
     """
-    if n <= RANK_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-    reversed_ = df.withColumn("_down", -F.col(order))
-    counted = grouped_positions(reversed_, keys, "_down", width, "_behind")
-    return counted.filter(F.col("_behind") < n).drop("_down", "_behind")
+    lots = 4 * shuffle_width(df.sparkSession)
+    newest = F.desc_nulls_last(order)
+    dealt = df.withColumn("_lot", F.pmod(F.xxhash64(order), F.lit(lots)))
+    in_lot = F.row_number().over(Window.partitionBy(*keys, "_lot").orderBy(newest))
+    few = dealt.withColumn("_rank", in_lot).filter(F.col("_rank") <= n)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(newest))
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_lot")
 
 
 def pad_tail(df: DataFrame, order: str, size: int, exact: bool = False) -> DataFrame:
@@ -175,10 +183,10 @@ def zip_pairs(left: DataFrame, right: DataFrame, pos: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The first row of every key in order of arrival.
+    """The first row of every key in order of arrival; a row without an order loses to any other.
 
     ``row_number() = 1`` keeps one row per key and task before the shuffle (WindowGroupLimit), so
     a key with many copies is no hot spot.
     """
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last(order)))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

@@ -4,25 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CHUNK = 1024
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
-    """A list<double> column as a rows x dims matrix, without a copy per row."""
+    """A list<double> column as a rows x dims matrix, without a copy per row.
+
+    A null list is a row of NaN, and so is a null entry; lists of different lengths raise.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=np.float64).reshape(rows, -1)
+    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    widths = np.unique(pc.list_value_length(column).drop_null().to_numpy())
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different lengths in one block: {widths[:5].tolist()}")
+    width = int(widths[0]) if len(widths) else 0
+    if present.all():
+        return flat.reshape(rows, width)
+    out = np.full((rows, width), np.nan)
+    out[present] = flat.reshape(-1, width)
+    return out
 
 
 def list_column(values: np.ndarray) -> pa.Array:
     rows, width = values.shape
-    offsets = np.arange(0, rows * width + 1, width, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+    offsets = np.arange(rows + 1, dtype=np.int32) * width
+    flat = np.ascontiguousarray(values).ravel()
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=np.isnan(flat)))
 
 
 def batch_products(df: DataFrame, batch: list[str], order: str, left: str, right: str) -> DataFrame:
@@ -30,7 +47,8 @@ def batch_products(df: DataFrame, batch: list[str], order: str, left: str, right
 
     The result keeps the other columns, drops ``left`` and ``right`` and adds ``member`` (the place
     in the batch by ``order``) and ``products`` (by ``member``). A batch is a fixed number of rows,
-    so the work is linear in the table; the pairs are never rows of their own.
+    so the work is linear in the table; the pairs are never rows of their own. A product with a null
+    vector is null. Rows are multiplied CHUNK at a time, so a large batch never needs its square at once.
     """
     kept = [c for c in df.columns if c not in (left, right)]
     schema = T.StructType(
@@ -44,10 +62,11 @@ def batch_products(df: DataFrame, batch: list[str], order: str, left: str, right
     def multiply(block: pa.Table) -> pa.Table:
         block = block.sort_by(order)
         rows = block.num_rows
-        products = matrix(block[left], rows) @ matrix(block[right], rows).T
+        lefts, rights = matrix(block[left], rows), matrix(block[right], rows).T
         out = block.select(kept)
         out = out.append_column("member", pa.array(np.arange(rows, dtype=np.int64)))
-        return out.append_column("products", list_column(products))
+        parts = [list_column(lefts[i : i + CHUNK] @ rights) for i in range(0, rows, CHUNK)]
+        return out.append_column("products", pa.chunked_array(parts))
 
     doubles = df.withColumns(
         {left: F.col(left).cast("array<double>"), right: F.col(right).cast("array<double>")}

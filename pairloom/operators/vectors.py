@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,9 +230,35 @@ def ema(
     )
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Count, mean and centred sum of outer products of two sets together."""
+    (n, mean, spread), (m, other, more) = a, b
+    shift = other - mean
+    total = n + m
+    return total, mean + shift * (m / total), spread + more + np.outer(shift, shift) * (n * m / total)
+
+
+def _moment_rows(parts: dict[str, tuple], lot: int) -> pa.RecordBatch:
+    names = list(parts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(names, pa.string()),
+            pa.array([lot] * len(names), pa.int64()),
+            pa.array([int(parts[g][0]) for g in names], pa.int64()),
+            pa.array([parts[g][1].tolist() for g in names], pa.list_(pa.float64())),
+            pa.array([parts[g][2].ravel().tolist() for g in names], pa.list_(pa.float64())),
+        ],
+        names=["grp", "lot", "n", "mean", "spread"],
+    )
+
+
+_MOMENTS = "grp string, lot bigint, n bigint, mean array<double>, spread array<double>"
+LOTS = 256
+
+
 def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count, sum and sum of outer products of one task, per group."""
-    sums: dict[str, list] = {}
+    """Moments of one task, per group, centred on the mean of each batch and merged."""
+    parts: dict[str, tuple] = {}
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -239,62 +266,59 @@ def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         coded = batch.column("grp").dictionary_encode()
         codes = coded.indices.to_numpy()
         for code, g in enumerate(coded.dictionary.to_pylist()):
-            part = x[codes == code]
-            acc = sums.setdefault(g, [0, 0.0, 0.0])
-            acc[0] += len(part)
-            acc[1] = acc[1] + part.sum(axis=0)
-            acc[2] = acc[2] + part.T @ part
-    for g, (n, s, ss) in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([g], pa.string()),
-                pa.array([n], pa.int64()),
-                list_column(s[None, :]),
-                list_column(ss.reshape(1, -1)),
-            ],
-            names=["grp", "n", "s", "ss"],
-        )
+            rows = x[codes == code]
+            mean = rows.mean(axis=0)
+            new = (len(rows), mean, (rows - mean).T @ (rows - mean))
+            parts[g] = _merged(parts[g], new) if g in parts else new
+    if parts:
+        yield _moment_rows(parts, TaskContext.get().partitionId() % LOTS)
+
+
+def _merge_moments(table: pa.Table) -> pa.Table:
+    merged = None
+    for row in table.select(["n", "mean", "spread"]).to_pylist():
+        d = len(row["mean"])
+        new = (row["n"], np.array(row["mean"]), np.array(row["spread"]).reshape(d, d))
+        merged = new if merged is None else _merged(merged, new)
+    return pa.Table.from_batches([_moment_rows({table["grp"][0].as_py(): merged}, table["lot"][0].as_py())])
 
 
 def vector_moments(df: DataFrame, vec: str, group: Column | None = None) -> DataFrame:
     """Mean and unbiased covariance per group in long form: ``grp, i, j, n, mean_i, mean_j, cov``.
 
-    A task sends one partial sum per group it saw, whatever the number of its rows. ``group``
-    should have few values.
+    Null vectors, and vectors with a null entry, are left out. A task sends one matrix per group it saw, the
+    matrices are merged in lots and then once more, and only the result becomes rows. Sums are centred
+    before they meet, so a large common offset costs no digits. ``group`` should have few values.
     """
     rows = df.select(
         F.coalesce((F.lit("all") if group is None else group).cast("string"), F.lit("")).alias("grp"),
         F.col(vec).cast("array<double>").alias("vec"),
+    ).filter(F.col("vec").isNotNull() & F.forall("vec", lambda v: v.isNotNull()))
+    partial = rows.mapInArrow(_partial_moments, _MOMENTS)
+    lots = partial.groupBy("grp", "lot").applyInArrow(_merge_moments, _MOMENTS)
+    whole = lots.groupBy("grp").applyInArrow(_merge_moments, _MOMENTS)
+    cells = unnest(whole, ["grp", "n", "mean"], "spread", "xx", "at").withColumns(
+        {
+            "i": F.floor(F.col("at") / F.size("mean")).cast("int"),
+            "j": (F.col("at") % F.size("mean")).cast("int"),
+        }
     )
-    partial = rows.mapInArrow(
-        _partial_moments, "grp string, n bigint, s array<double>, ss array<double>"
-    )
-    cells = unnest(partial, ["grp", "n", "s"], "ss", "xx", "at").withColumns(
-        {"i": F.floor(F.col("at") / F.size("s")), "j": F.col("at") % F.size("s")}
-    )
-    sums = cells.groupBy("grp", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.get("s", F.col("i").cast("int"))).alias("si"),
-        F.sum(F.get("s", F.col("j").cast("int"))).alias("sj"),
-        F.sum("xx").alias("sij"),
-    )
-    return sums.select(
+    return cells.select(
         "grp",
         "i",
         "j",
         "n",
-        (F.col("si") / F.col("n")).alias("mean_i"),
-        (F.col("sj") / F.col("n")).alias("mean_j"),
-        F.try_divide(
-            F.col("sij") - F.col("si") * F.col("sj") / F.col("n"), (F.col("n") - 1).cast("double")
-        ).alias("cov"),
+        F.get("mean", F.col("i")).alias("mean_i"),
+        F.get("mean", F.col("j")).alias("mean_j"),
+        F.try_divide("xx", (F.col("n") - 1).cast("double")).alias("cov"),
     )
 
 
 def frechet_distance(a: DataFrame, b: DataFrame, vec: str) -> DataFrame:
     """``|m1-m2|^2 + tr(C1 + C2 - 2 (C1 C2)^(1/2))`` of two sets of vectors, as one row.
 
-    Only the two d x d tables come together in one task; d is the width of a vector.
+    Only the two d x d tables come together in one task; d is the width of a vector. A side with fewer than
+    two vectors has no covariance: the distance is null, or without any vectors there is no row.
     """
     sides = a.select(F.lit("a").alias("_side"), vec).unionByName(b.select(F.lit("b").alias("_side"), vec))
     moments = vector_moments(sides, vec, F.col("_side"))
@@ -310,6 +334,9 @@ def frechet_distance(a: DataFrame, b: DataFrame, vec: str) -> DataFrame:
                 part["cov"].to_numpy().reshape(d, d),
             )
 
+        names = set(cells["grp"].to_pylist())
+        if names != {"a", "b"} or cells["cov"].null_count:
+            return pa.table({"frechet": pa.array([None], pa.float64())})
         (m1, c1), (m2, c2) = side("a"), side("b")
         w, v = np.linalg.eigh(c1)
         root = (v * np.sqrt(np.clip(w, 0, None))) @ v.T

@@ -43,7 +43,8 @@ def trailing_mean(spark, sf):
 
 def _stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # The table itself is the source, a file or a folder of part files.
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

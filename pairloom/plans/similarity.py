@@ -139,7 +139,9 @@ def _wave(i: int, fn: str) -> str:
     + ", ".join(f"{_wave(i, 'cos')} AS w{i}" for i in range(4))
     + ", "
     + ", ".join(f"{_wave(i, 'sin')} AS w{i + 4}" for i in range(4))
-    + f", 0.0::DOUBLE AS w8, {_wave(3, 'sin')} AS p3 FROM h",
+    + ", 0.0::DOUBLE AS w8, "
+    + ", ".join(f"{_wave(i, 'sin')} AS p{i}, {_wave(i, 'cos')} AS p{i + 4}" for i in range(4))
+    + " FROM h",
 )
 def time_features(spark, sf):
     hour = F.hour("ts")
@@ -147,7 +149,8 @@ def time_features(spark, sf):
         "event_id", vf.sinusoidal(hour, 9).alias("w"), vf.sinusoidal(hour, 8, order="sin_cos").alias("p")
     )
     waves = [(F.round(F.col("w")[i], 6) + F.lit(0.0)).alias(f"w{i}") for i in range(9)]
-    return rows.select("event_id", *waves, (F.round(F.col("p")[3], 6) + F.lit(0.0)).alias("p3"))
+    places = [(F.round(F.col("p")[i], 6) + F.lit(0.0)).alias(f"p{i}") for i in range(8)]
+    return rows.select("event_id", *waves, *places)
 
 
 @query(
@@ -156,9 +159,6 @@ def time_features(spark, sf):
     f"{sql.r6('CASE WHEN dim < 32 THEN eps + 7.5 * (eps_hat - eps) ELSE eps_hat END')} AS value FROM preds",
 )
 def guided_combine(spark, sf):
-    preds = fx.predictions(spark, sf, fx.respaced(spark))
-    cond = preds.select("vec_id", "t", "eps_hat")
-    uncond = preds.select("vec_id", "t", "eps")
-    both = cond.join(uncond, ["vec_id", "t"])
+    both = fx.predictions(spark, sf, fx.respaced(spark)).select("vec_id", "t", "eps_hat", "eps")
     rows = unnest(both, ["vec_id", "t"], vf.guided("eps_hat", "eps", 7.5, 32), "value", "dim")
     return rows.withColumn("value", F.round("value", 6) + F.lit(0.0))

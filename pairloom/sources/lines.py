@@ -16,14 +16,17 @@ _SPLITS = pa.schema(
     [("path", pa.string())] + [(name, pa.int64()) for name in ("_start", "_first", "_count", "_offset")]
 )
 
+BROADCAST_SPLITS = 200_000  # about 30 MB
+
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one file, or of one folder of part files in name order, with their numbers.
 
     Spark numbers rows only within a task. The line count of every split is taken in one pass; the
     offset of a split is then the number of lines before it. That table has a row per split, the
-    same order of size as the split list the driver plans every scan from, so it may be collected
-    and broadcast. The lines themselves are not shuffled.
+    same order of size as the split list the driver plans every scan from, so it may be collected;
+    up to BROADCAST_SPLITS rows it is broadcast, and the lines themselves are not shuffled. A split that
+    the first pass did not see stops the scan.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -45,7 +48,9 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     checked = F.when((at >= 0) & (at < F.col("_count")), at).otherwise(
         F.raise_error(F.lit("the splits changed between two scans of " + path))
     )
-    return raw.join(F.broadcast(table), ["path", "_start"]).select(
+    if len(splits) <= BROADCAST_SPLITS:
+        table = F.broadcast(table)
+    return raw.join(table, ["path", "_start"], "left").select(
         "path", (F.col("_offset") + checked).alias("line_no"), "value"
     )
 
@@ -107,8 +112,13 @@ def read_vocab(spark: SparkSession, path: str) -> Vocabulary:
 
 
 def write_pairs(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Write ``target <TAB> pred`` lines; each task commits its own file."""
+    """Write ``target <TAB> pred`` lines; each task commits its own file.
+
+    A value with a tab or a line break could not be read back, so it stops the job.
+    """
     line = F.concat_ws("\t", "target", "pred")
+    broken = F.coalesce(F.col("target"), F.lit("")).rlike("[\t\n\r]") | F.coalesce(F.col("pred"), F.lit("")).rlike("[\n\r]")
+    line = F.when(broken, F.raise_error(F.lit("a pair holds a tab or a line break"))).otherwise(line)
     if order:
         write_lines(df, order, line, path)
     else:

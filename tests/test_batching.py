@@ -93,7 +93,7 @@ def test_grouped_positions_of_a_hot_key(spark):
 @pytest.mark.parametrize("n", [1, 10, 1500])
 def test_last_rows(spark, n):
     df = spark.range(4000).withColumn("k", F.when(F.col("id") % 10 == 0, "cold").otherwise("hot"))
-    rows = bat.last_rows(df, ["k"], "id", n, width=128).collect()
+    rows = bat.last_rows(df, ["k"], "id", n).collect()
     for key in ("hot", "cold"):
         mine = [i for i in range(4000) if (i % 10 == 0) == (key == "cold")]
         assert sorted(r.id for r in rows if r.k == key) == mine[-n:]
