@@ -168,8 +168,9 @@ def pair_validity(df: DataFrame, is_valid) -> DataFrame:
     )
 
 
-def pair_report(df: DataFrame, key: str, is_valid, normalize=_default_normal) -> DataFrame:
-    """Per pair: both strings, ``exact``, ``valid`` and ``lev``, in one pass without a shuffle."""
+def pair_report(df: DataFrame, key: str, is_valid, normalize=_default_normal, more: list[str] | None = None) -> DataFrame:
+    """Per pair: both strings, ``exact``, ``valid`` and ``lev`` (and the columns ``more``), in one pass
+    without a shuffle."""
     both = F.coalesce(is_valid(F.col("target")) & is_valid(F.col("pred")), F.lit(False))
     return df.select(
         key,
@@ -178,20 +179,27 @@ def pair_report(df: DataFrame, key: str, is_valid, normalize=_default_normal) ->
         (exact_flag(normalize) * both.cast("int")).alias("exact"),
         both.cast("int").alias("valid"),
         F.levenshtein("target", "pred").alias("lev"),
+        *(more or []),
     )
 
 
 def pair_summary(df: DataFrame, key: str, is_valid, normalize=_default_normal) -> DataFrame:
-    """One row: pairs, BLEU, exact match, mean edit distance, validity."""
-    flags = pair_report(df, key, is_valid, normalize).agg(
+    """One row: pairs, BLEU, exact match, mean edit distance, validity, and the means of both Tanimoto kinds
+    over the pairs with two valid sides (null without any)."""
+    valid = F.coalesce(is_valid(F.col("target")) & is_valid(F.col("pred")), F.lit(False))
+    scored = pair_report(tanimoto_set(df), key, is_valid, normalize, ["tanimoto"])
+    counted = tanimoto_count(df.filter(valid), key).agg(F.avg("tanimoto")).scalar()
+    flags = scored.agg(
         F.struct(
             F.count("*").alias("n_pairs"),
+            F.avg(F.when(F.col("valid") == 1, F.col("tanimoto"))).alias("mean_tanimoto_set"),
             F.avg("exact").alias("exact_match"),
             F.avg("lev").alias("mean_lev"),
             F.avg("valid").alias("validity"),
         )
     ).scalar()
-    return corpus_bleu(df, key).withColumn("_s", flags).select("_s.*", "bleu")
+    both = corpus_bleu(df, key).withColumns({"_s": flags, "mean_tanimoto_count": counted})
+    return both.select("_s.*", "mean_tanimoto_count", "bleu")
 
 
 def evaluate_pairs(df: DataFrame, key: str, is_valid, normalize=_default_normal) -> tuple[DataFrame, DataFrame]:

@@ -135,17 +135,22 @@ def contrastive_loss(
     alpha: float,
     per_step: int = 64,
     ramp_batches: int | None = None,
+    live1: str | None = None,
+    live2: str | None = None,
 ) -> DataFrame:
     """Per batch: both directions of the contrastive loss against own batch and bank.
 
+    ``view1`` and ``view2`` are the momentum features: they fill the pools and the bank and give the soft
+    targets. The logits' query side are the live features ``live1`` and ``live2``, the same columns if not given.
+
     ``alpha`` grows over ``ramp_batches`` batches where that is given (epoch 0).
     """
     temp = clamp_temp(temp)
     steps = _bank_steps(q, per_step)
 
-    def direction(query: np.ndarray, pool: np.ndarray, a: float) -> float:
-        logp = _log_softmax(query @ pool.T / temp)
-        targets = a * np.exp(logp)
+    def direction(live: np.ndarray, query: np.ndarray, pool: np.ndarray, a: float) -> float:
+        logp = _log_softmax(live @ pool.T / temp)
+        targets = a * np.exp(_log_softmax(query @ pool.T / temp))
         own = np.arange(len(query))
         targets[own, own] += 1.0 - a
         return float(-(logp * targets).sum(axis=1).mean())
@@ -156,7 +161,7 @@ def contrastive_loss(
         numbers = block["batch_no"].to_numpy()
         members = block["member"].to_numpy()
         home = block["home"].to_numpy()
-        v1, v2 = matrix(block["v1"], rows), matrix(block["v2"], rows)
+        v1, v2, l1, l2 = (matrix(block[c], rows) for c in ("v1", "v2", "l1", "l2"))
         out: dict[str, list] = {"batch_no": [], "candidates": [], "loss": []}
         here = home == block["block"][0].as_py()
         for b in np.unique(numbers[here]):
@@ -168,7 +173,7 @@ def contrastive_loss(
             pool2 = np.concatenate([v2[own], v2[bank][entered]])
             out["batch_no"].append(int(b))
             out["candidates"].append(len(pool1))
-            out["loss"].append(direction(v2[own], pool1, a) + direction(v1[own], pool2, a))
+            out["loss"].append(direction(l2[own], v2[own], pool1, a) + direction(l1[own], v1[own], pool2, a))
         return pa.table(
             {
                 "batch_no": pa.array(out["batch_no"], pa.int64()),
@@ -182,6 +187,8 @@ def contrastive_loss(
         F.col(member).cast("bigint").alias("member"),
         F.col(view1).cast("array<double>").alias("v1"),
         F.col(view2).cast("array<double>").alias("v2"),
+        F.col(live1 or view1).cast("array<double>").alias("l1"),
+        F.col(live2 or view2).cast("array<double>").alias("l2"),
     )
     blocks = bank_blocks(rows, "batch_no", "member", q, per_step).withColumnRenamed("_home", "home")
     return place(blocks, "block").groupBy("block").applyInArrow(

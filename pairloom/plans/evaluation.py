@@ -136,13 +136,23 @@ def pair_report(spark, sf):
 
 @query(
     "pair_summary",
-    f"WITH {_bleu(_P)}, {_REPORT} SELECT count(*) AS n_pairs, {sql.r6('avg(exact)')} AS exact_match, "
+    f"WITH {_bleu(_P)}, {_REPORT}, {_BITS.format('target')}, {_BITS.format('pred')}, "
+    "na AS (SELECT pair_id, count(*) AS a FROM target_b GROUP BY 1), nb AS (SELECT pair_id, count(*) AS b FROM pred_b GROUP BY 1), "
+    "nc AS (SELECT pair_id, count(*) AS c FROM target_b JOIN pred_b USING (pair_id, bit) GROUP BY 1), "
+    "by_set AS (SELECT avg(coalesce(coalesce(c, 0) / nullif(coalesce(a, 0) + coalesce(b, 0) - coalesce(c, 0), 0), 0)) AS m FROM report "
+    "LEFT JOIN na USING (pair_id) LEFT JOIN nb USING (pair_id) LEFT JOIN nc USING (pair_id) WHERE valid = 1), "
+    "j AS (SELECT pair_id, least(coalesce(t.c, 0), coalesce(p.c, 0)) AS lo, coalesce(t.c, 0) + coalesce(p.c, 0) AS al "
+    "FROM (FROM target_g WHERE n = 3) t FULL JOIN (FROM pred_g WHERE n = 3) p USING (pair_id, n, gram)), "
+    "tans AS (SELECT pair_id, sum(lo) / (sum(al) - sum(lo)) AS tan FROM j GROUP BY pair_id), "
+    "by_count AS (SELECT avg(coalesce(tan, 0)) AS m FROM report LEFT JOIN tans USING (pair_id) WHERE valid = 1) "
+    f"SELECT count(*) AS n_pairs, {sql.r6('(SELECT m FROM by_set)')} AS mean_tanimoto_set, "
+    f"{sql.r6('(SELECT m FROM by_count)')} AS mean_tanimoto_count, {sql.r6('avg(exact)')} AS exact_match, "
     f"{sql.r6('avg(lev)')} AS mean_lev, {sql.r6('avg(valid)')} AS validity, "
     f"{sql.r6('(SELECT b FROM bleu)')} AS bleu FROM report",
 )
 def pair_summary(spark, sf):
     out = ev.evaluate_pairs(fx.part_pairs(spark, sf), "pair_id", _valid, _normal)[1]
-    names = ("exact_match", "mean_lev", "validity", "bleu")
+    names = ("exact_match", "mean_lev", "validity", "bleu", "mean_tanimoto_set", "mean_tanimoto_count")
     return out.select("n_pairs", *[F.round(c, 6).alias(c) for c in names])
 
 

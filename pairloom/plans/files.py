@@ -47,6 +47,25 @@ def head_copy(spark, sf):
     return src.read_lines(spark, [copy]).select("line_no", "line")
 
 
+@query(
+    "read_vocab",
+    "WITH w AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN '##' ELSE '' END || p_name AS word FROM part), "
+    "n AS (SELECT row_number() OVER (ORDER BY word) - 1 AS id, replace(word, '##', '') AS token FROM w), "
+    "v AS (SELECT token, max(id) AS id FROM n GROUP BY token) "
+    "SELECT p_partkey, id FROM part JOIN v ON token = p_name",
+)
+def read_vocab(spark, sf):
+    """A vocabulary file of part names, read back; each part looks its name up."""
+    part = table(spark, sf, "part")
+    word = F.concat(F.when(F.col("p_partkey") % 2 == 0, "##").otherwise(""), "p_name").alias("word")
+    path = scratch_dir(spark, "vocab")
+    src.write_lines(part.select(word).distinct(), ["word"], "word", path)
+    tokens = src.read_vocab(spark, path).tokens
+    known = spark.createDataFrame(list(enumerate(tokens)), "id bigint, token string")
+    ids = known.groupBy("token").agg(F.max("id").alias("id"))
+    return part.join(ids, F.col("token") == F.col("p_name")).select("p_partkey", "id")
+
+
 _FIELDS = f"string_split({sql.strip('line')}, chr(9))"
 _REPAIRED = (
     f"SELECT line_id, {_FIELDS}[1] AS target, CASE WHEN len({_FIELDS}) = 2 THEN {_FIELDS}[2] ELSE 'Q' END AS pred "

@@ -67,6 +67,18 @@ RECORDS_CTE = (
 )
 
 
+def whole_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A well-formed line of three fields for every document."""
+    d = table(spark, sf, "documents")
+    item = F.concat_ws(".", "source", "lang")
+    return d.select("doc_id", F.concat_ws("\t", F.col("doc_id").cast("string"), item, one_line("text")).alias("line"))
+
+
+WHOLE_RECORDS_CTE = (
+    f"records AS (SELECT doc_id, doc_id || {_T} || {_ITEM} || {_T} || {sql.one_line('text')} AS line FROM documents)"
+)
+
+
 def part_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """``pair_id, target, pred``: the label of a part and of the next one by key."""
     p = table(spark, sf, "part").select(

@@ -41,10 +41,23 @@ def trailing_mean(spark, sf):
     return out.withColumn("trailing_mean", F.round("trailing_mean", 6))
 
 
+@query(
+    "trailing_mean_long",
+    "WITH e AS (SELECT CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, event_id, value FROM events), "
+    "r AS (SELECT kind, value FROM e QUALIFY row_number() OVER (PARTITION BY kind ORDER BY event_id DESC) <= 2500) "
+    f"SELECT kind, count(*) AS n, {sql.r6('avg(value)')} AS trailing_mean FROM r GROUP BY kind",
+)
+def trailing_mean_long(spark, sf):
+    """More rows than Spark's rank limit, and a third of all rows without a key."""
+    kind = F.when(F.col("event_id") % 3 > 0, F.col("event_type"))
+    out = logs.trailing_mean(table(spark, sf, "events").withColumn("kind", kind), ["kind"], "event_id", "value", 2500)
+    return out.withColumn("trailing_mean", F.round("trailing_mean", 6))
+
+
 def _stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    # The table itself is the source, a file or a folder of part files.
-    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    # The table may be a file or a folder of part files; a pattern may stand for either.
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -64,14 +64,22 @@ _COEFS = {
 
 @query(
     "noise_coefficients",
-    f"WITH {_DRAW}, {_BASE} SELECT event_id, t, "
+    f"WITH {_DRAW}, "
+    + ", ".join(sql.coefs_cte(f"sched{i}", sql.betas(n, fx.STEPS)) for i, n in enumerate(noise.SCHEDULES))
+    + ", named AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS schedule, * FROM sched{i}" for i, n in enumerate(noise.SCHEDULES))
+    + ") SELECT schedule, event_id, t, "
     + ", ".join(f"{sql.r6(short)} AS {name}" for name, short in _COEFS.items())
-    + " FROM drawn JOIN sched USING (t)",
+    + " FROM drawn JOIN named USING (t)",
 )
 def noise_coefficients(spark, sf):
-    """All coefficients at the step drawn for each event."""
-    rows = noise.with_schedule(_drawn(spark, sf), noise.schedule(spark), list(_COEFS))
-    return rows.select("event_id", "t", *[_r(c) for c in _COEFS])
+    """All coefficients of every schedule at the step drawn for each event."""
+    tables = [noise.schedule(spark, n).withColumn("schedule", F.lit(n)) for n in noise.SCHEDULES]
+    named = tables[0]
+    for other in tables[1:]:
+        named = named.unionByName(other)
+    rows = noise.with_schedule(_drawn(spark, sf), noise.held(named), ["schedule", *_COEFS])
+    return rows.select("schedule", "event_id", "t", *[_r(c) for c in _COEFS])
 
 
 # Sections of 334, 333 and 333 steps.

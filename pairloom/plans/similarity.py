@@ -68,27 +68,37 @@ def soft_targets(spark, sf):
     return rows.withColumn("weight", F.round("weight", 6))
 
 
-def _direction(name: str, query_view: str, pool_view: str) -> str:
-    product = f"list_sum(list_transform(range(1, 65), lambda i: a.{query_view}[i] * b.{pool_view}[i]))"
+def _direction(name: str, query_view: str, pool_view: str, live_view: str | None = None) -> str:
+    """Soft targets from ``query_view``, logits from ``live_view``."""
+
+    def product(view: str) -> str:
+        return f"list_sum(list_transform(range(1, 65), lambda i: a.{view}[i] * b.{pool_view}[i]))"
+
     return (
-        f"{name}_l AS (SELECT a.batch_no, a.pos, a.pos = b.pos AS own, {product} / {TEMP} AS logit "
+        f"{name}_l AS (SELECT a.batch_no, a.pos, a.pos = b.pos AS own, {product(query_view)} / {TEMP} AS soft, "
+        f"{product(live_view or query_view)} / {TEMP} AS logit "
         f"FROM views a JOIN views b ON b.batch_no BETWEEN a.batch_no - {BANK // fx.BATCH} AND a.batch_no), "
-        f"{name}_m AS (SELECT *, max(logit) OVER (PARTITION BY pos) AS top FROM {name}_l), "
-        f"{name}_p AS (SELECT *, logit - top - ln(sum(exp(logit - top)) OVER (PARTITION BY pos)) AS lp FROM {name}_m), "
+        f"{name}_m AS (SELECT *, max(logit) OVER (PARTITION BY pos) AS top, max(soft) OVER (PARTITION BY pos) AS high FROM {name}_l), "
+        f"{name}_p AS (SELECT *, logit - top - ln(sum(exp(logit - top)) OVER (PARTITION BY pos)) AS lp, "
+        f"exp(soft - high) / sum(exp(soft - high)) OVER (PARTITION BY pos) AS share FROM {name}_m), "
         f"{name}_r AS (SELECT batch_no, pos, count(*) AS n, "
-        f"-sum(lp * ({ALPHA} * exp(lp) + CASE WHEN own THEN {1 - ALPHA} ELSE 0 END)) AS loss FROM {name}_p GROUP BY ALL), "
+        f"-sum(lp * ({ALPHA} * share + CASE WHEN own THEN {1 - ALPHA} ELSE 0 END)) AS loss FROM {name}_p GROUP BY ALL), "
         f"{name} AS (SELECT batch_no, max(n) AS candidates, avg(loss) AS loss FROM {name}_r GROUP BY batch_no)"
     )
 
 
 @query(
     "contrastive_loss",
-    f"WITH {fx.TWO_VIEWS_CTE}, {_direction('d12', 'x', 'y')}, {_direction('d21', 'y', 'x')} "
+    f"WITH {fx.TWO_VIEWS_CTE.replace('views AS', 'plain_views AS').replace('raw_plain_views', 'raw_views')}, "
+    "views AS (SELECT *, list_reverse(x) AS u, list_reverse(y) AS v FROM plain_views), "
+    f"{_direction('d12', 'x', 'y', 'u')}, {_direction('d21', 'y', 'x', 'v')} "
     f"SELECT batch_no, d12.candidates, {sql.r6('d12.loss + d21.loss')} AS loss FROM d12 JOIN d21 USING (batch_no)",
 )
 def contrastive_loss(spark, sf):
     views = fx.two_views(spark, sf).withColumn("member", F.col("pos") % fx.BATCH)
-    out = vec.contrastive_loss(views, "batch_no", "member", "x", "y", BANK, TEMP, ALPHA)
+    # Four different inputs: the live features are the momentum features back to front.
+    views = views.withColumns({"u": F.reverse("x"), "v": F.reverse("y")})
+    out = vec.contrastive_loss(views, "batch_no", "member", "x", "y", BANK, TEMP, ALPHA, live1="u", live2="v")
     return out.withColumn("loss", F.round("loss", 6))
 
 

@@ -31,6 +31,15 @@ def _good(spark, sf):
     return parsed.filter("NOT bad").select("doc_id", "cid", "item", "description")
 
 
+# Records of all documents, each with its whole text.
+_ALL_PARSED = _PARSED.replace(fx.RECORDS_CTE, fx.WHOLE_RECORDS_CTE)
+
+
+def _all(spark, sf):
+    parsed = rec.parse_records(fx.whole_records(spark, sf), mode="quarantine")
+    return parsed.filter("NOT bad").select("doc_id", "cid", "item", "description")
+
+
 @query(
     "parse_records",
     f"WITH {_PARSED} SELECT doc_id, cid, item, description FROM parsed WHERE NOT bad",
@@ -64,11 +73,11 @@ def first_field(spark, sf):
 
 @query(
     "label_dropout",
-    f"WITH {_PARSED} SELECT doc_id, CASE WHEN {sql.u(fx.SEED, 'doc_id')} < 0.95 AND NOT item LIKE '%.fr' "
+    f"WITH {_ALL_PARSED} SELECT doc_id, CASE WHEN {sql.u(fx.SEED, 'doc_id')} < 0.95 AND NOT item LIKE '%.fr' "
     f"THEN description ELSE {NULL} END AS description FROM parsed WHERE NOT bad",
 )
 def label_dropout(spark, sf):
-    kept = rec.drop_labels(_good(spark, sf), "doc_id", 0.95, fx.SEED, force=F.col("item").endswith(".fr"))
+    kept = rec.drop_labels(_all(spark, sf), "doc_id", 0.95, fx.SEED, force=F.col("item").endswith(".fr"))
     return kept.select("doc_id", "description")
 
 
@@ -194,13 +203,13 @@ def sentence_subset(spark, sf):
 
 @query(
     "describe_level",
-    f"WITH {_PARSED}, good AS (SELECT doc_id, description FROM parsed WHERE NOT bad), "
+    f"WITH {_ALL_PARSED}, good AS (SELECT doc_id, description FROM parsed WHERE NOT bad), "
     f"{sql.sentences_cte('good', 'doc_id', 'description')}, {sql.groups_cte('doc_id')}, {_PICK} "
     f"SELECT doc_id, CASE WHEN description = {NULL} THEN description ELSE grp END AS sentence, "
     "description AS paragraph FROM good LEFT JOIN picked USING (doc_id)",
 )
 def describe_level(spark, sf):
-    good = _good(spark, sf).select("doc_id", "description", F.col("description").alias("paragraph"))
+    good = _all(spark, sf).select("doc_id", "description", F.col("description").alias("paragraph"))
     return rec.describe(good, "sentence", fx.SEED, "doc_id").select(
         "doc_id", F.col("description").alias("sentence"), "paragraph"
     )
@@ -226,6 +235,13 @@ _ENCODED = (
 )
 
 
+_WHOLE = (
+    f"enc_t AS (SELECT doc_id, {sql.tokens('text', VOCAB)} AS toks FROM documents), "
+    f"enc_v AS (SELECT {sql.vocab_map(VOCAB)} AS m), "
+    "enc AS (SELECT doc_id, len(toks)::INT AS n_tokens, list_transform(toks, lambda t: m[t]::INT) AS ids FROM enc_t, enc_v)"
+)
+
+
 def _encoded(spark, sf):
     return enc.encode(_documents(spark, sf), "text", VOCAB)
 
@@ -254,18 +270,25 @@ def encode_longest(spark, sf):
 
 @query(
     "decode_roundtrip",
-    f"WITH {_ENCODED}, cut AS (SELECT doc_id, n_tokens, ids, list_position(ids, 3) AS stop FROM enc), "
+    f"WITH {_WHOLE}, cut AS (SELECT doc_id, n_tokens, ids, list_position(ids, 3) AS stop FROM enc), "
     "body AS (SELECT doc_id, CASE WHEN stop > 0 THEN ids[2:stop - 1] ELSE ids[2:] END AS ids FROM cut), "
     f"names AS (SELECT {sql.vocab_list(VOCAB)} AS v) "
     "SELECT doc_id, array_to_string(list_transform(ids, lambda i: v[i + 1]), '') AS decoded FROM body, names",
 )
 def decode_roundtrip(spark, sf):
-    return _encoded(spark, sf).select("doc_id", tk.decode("ids", VOCAB).alias("decoded"))
+    whole = enc.encode(_documents(spark, sf), "text", VOCAB, None)
+    return whole.select("doc_id", tk.decode("ids", VOCAB).alias("decoded"))
 
 
 @query(
     "token_mask",
-    f"WITH {_ENCODED} SELECT doc_id, array_to_string(list_transform(ids, lambda i: (i <> 0)::INT), '') AS mask FROM enc",
+    "WITH t AS (SELECT item_id, "
+    f"len({sql.tokens('text', VOCAB)}) AS n FROM benchmark), "
+    "w AS (SELECT item_id, n, max(n) OVER (PARTITION BY item_id // 16) AS width FROM t) "
+    "SELECT item_id, repeat('1', n) || repeat('0', width - n) AS mask FROM w",
 )
 def token_mask(spark, sf):
-    return _encoded(spark, sf).select("doc_id", F.array_join(tk.attention_mask("ids"), "").alias("mask"))
+    """Whole texts, padded to the longest of their batch."""
+    items = table(spark, sf, "benchmark").withColumn("batch_no", F.floor(F.col("item_id") / 16))
+    padded = enc.pad_batch(enc.encode(items, "text", VOCAB, None), ["batch_no"])
+    return padded.select("item_id", F.array_join(tk.attention_mask("ids"), "").alias("mask"))

@@ -97,3 +97,15 @@ def test_last_rows(spark, n):
     for key in ("hot", "cold"):
         mine = [i for i in range(4000) if (i % 10 == 0) == (key == "cold")]
         assert sorted(r.id for r in rows if r.k == key) == mine[-n:]
+
+
+def test_positions_of_null_keys_and_null_orders(spark):
+    rows = [("a", 5), ("a", None), ("a", 2), (None, 7), (None, 1), (None, None)]
+    df = spark.createDataFrame(rows, "k string, o bigint")
+    got = {(r.k, r.o): r.pos for r in bat.grouped_positions(df, ["k"], "o", width=2).collect()}
+    assert got == {("a", 2): 0, ("a", 5): 1, ("a", None): 2, (None, 1): 0, (None, 7): 1, (None, None): 2}
+
+
+def test_keep_first_prefers_known_orders(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 9, 2), ("b", None, 3)], "k string, o bigint, v int")
+    assert sorted(r.v for r in bat.keep_first(df, ["k"], "o").collect()) == [2, 3]

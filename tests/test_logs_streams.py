@@ -84,3 +84,20 @@ def test_scratch_is_below_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert a.startswith(root) and a != b
+
+
+def test_stream_queries_read_a_folder_table(spark, tmp_path):
+    from pairloom.plans import logs as plans
+
+    rows = [(i, START + timedelta(hours=i), i % 7, "ab"[i % 2], float(i)) for i in range(100)]
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    assert plans.stream_dedup_keys(spark, str(tmp_path)).count() == 7
+    assert plans.stream_window(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_trailing_mean_keeps_null_keys(spark, n):
+    df = spark.range(4000).selectExpr("IF(id % 2 = 0, 'a', NULL) AS k", "IF(id % 5 = 0, NULL, id) AS o", "1.0D AS v")
+    rows = {r.k: r.n for r in logs.trailing_mean(df, ["k"], "o", "v", n).collect()}
+    assert rows == {"a": n, None: n}

@@ -148,3 +148,30 @@ def test_moments_by_group(spark, rng):
     for r in rows:
         part = a[int(r.grp) :: 2]
         assert r.n == 30 and abs(r.cov - np.cov(part.T)[0, 2]) < 1e-9
+
+
+def test_moments_with_offset_and_null_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 3)) + 1e8
+    rows = [(v.tolist(),) for v in x] + [(None,), ([1.0, None, 2.0],)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(5)
+    got = {(r.i, r.j): (r.n, r.cov) for r in vec.vector_moments(df, "v").collect()}
+    want = np.cov(x, rowvar=False)
+    assert all(n == 500 and abs(c - want[k]) < 1e-6 for k, (n, c) in got.items()) and len(got) == 9
+
+
+def test_products_with_null_vectors(spark):
+    from pairloom.operators.blocks import batch_products
+
+    rows = [(0, i, [float(i), 1.0]) if i != 2 else (0, i, None) for i in range(4)]
+    df = spark.createDataFrame(rows, "b int, i int, x array<double>").withColumn("y", F.col("x"))
+    got = {r.i: r.products for r in batch_products(df, ["b"], "i", "x", "y").collect()}
+    assert got[1] == [1.0, 2.0, None, 4.0] and got[2] == [None] * 4
+
+
+def test_frechet_of_an_empty_side_is_null(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([2.0, 1.0],), ([0.0, 1.0],)], "x array<double>")
+    rows = vec.frechet_distance(df, df.limit(0), "x").collect()
+    assert [r.frechet for r in rows] == [None]
