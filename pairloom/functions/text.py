@@ -38,7 +38,7 @@ END = "<stop>"
 
 _L = "[A-Za-z]"
 
-# (pattern, replacement), in order; groups are written $1. Runs of dots are protected between the
+# The rules of sentence splitting as (pattern, replacement), in order; groups are written $1. Runs of dots are protected between the
 # first and the second list.
 DOT_RULES_BEFORE_RUNS = [
     (rf"({TITLES})\.", f"$1{DOT}"),

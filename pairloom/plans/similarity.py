@@ -130,7 +130,32 @@ def vector_moments(spark, sf):
     )
 
 
-@query("frechet_labels")
+# The root of the product of the covariances by a coupled Newton-Schulz iteration: of y and z, both 64 x 64, y
+# goes to the root of the scaled product and z to its inverse.
+_FRECHET = f"""WITH RECURSIVE {fx.VECTORS_CTE},
+sides AS (SELECT label < 5 AS first, x FROM vecs),
+cells AS (SELECT first, x, unnest(range(1, 65)) AS i FROM sides),
+means AS (SELECT first, i, avg(x[i]) AS m FROM cells GROUP BY ALL),
+covs AS (SELECT first, i, j, covar_samp(x[i], x[j]) AS c FROM (SELECT *, unnest(range(1, 65)) AS j FROM cells) GROUP BY ALL),
+product AS (SELECT a.i, b.j, sum(a.c * b.c) AS p FROM covs a JOIN covs b ON a.j = b.i WHERE a.first AND NOT b.first GROUP BY ALL),
+scale AS (SELECT sqrt(sum(p * p)) AS s FROM product),
+root(step, i, j, y, z) AS (
+  SELECT 0, i, j, p / s, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END FROM product, scale
+  UNION ALL
+  SELECT n.step + 1, n.i, n.j, n.y, n.z FROM (
+    WITH t AS (
+      SELECT a.step, a.i, b.j, CASE WHEN a.i = b.j THEN 1.5 ELSE 0 END - 0.5 * sum(a.z * b.y) AS v
+      FROM root a JOIN root b ON a.j = b.i GROUP BY a.step, a.i, b.j),
+    ny AS (SELECT a.i, t.j, sum(a.y * t.v) AS y FROM root a JOIN t ON a.j = t.i GROUP BY ALL),
+    nz AS (SELECT t.step, t.i, b.j, sum(t.v * b.z) AS z FROM t JOIN root b ON t.j = b.i GROUP BY ALL)
+    SELECT nz.step, i, j, y, z FROM ny JOIN nz USING (i, j)) n
+  WHERE n.step < 30)
+SELECT round((SELECT sum((a.m - b.m) ** 2) FROM means a JOIN means b USING (i) WHERE a.first AND NOT b.first)
+  + (SELECT sum(c) FROM covs WHERE i = j)
+  - 2 * (SELECT sum(y) * sqrt(any_value(s)) FROM root, scale WHERE step = 30 AND i = j), 6) AS frechet"""
+
+
+@query("frechet_labels", _FRECHET)
 def frechet_labels(spark, sf):
     v = fx.vectors(spark, sf)
     return vec.frechet_distance(v.filter("label < 5"), v.filter("label >= 5"), "x").withColumn(
