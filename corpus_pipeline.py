@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages over ``documents``: each stage works on all that the one before kept.
 
 quality classifier -> n-gram Jaccard join -> suffix-array dedup -> benchmark decontamination -> mixing.
-All but the last return the columns of ``documents``; null ids and repeated rows stay apart, since stages
-whose operator names rows by id go through a row number of the stage's written input.
+All but the last return the columns of ``documents``. Operators name rows by a hash of the whole row (``row``), so
+ids may be null or repeat; rows that agree in all columns share a name and a fate. Each stage writes its decisions
+and removes the tables of its operator.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, jaccard, mixing, quality, repeats
-from pairloom.llm.components import written
+from pairloom.llm.components import decided, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,9 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own in ``row``, written so that the number holds."""
-    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows with the hash of all their columns in ``row``."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "text")
 
 
 def _renewed(docs: DataFrame, text: Column) -> DataFrame:
@@ -44,14 +49,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words are linked with nothing and all stay.
     """
-    rows = _numbered(docs)
-    found = jaccard.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
-    groups = found.filter("n > 0").select(F.col("id").alias("row"), "component")
-    ids = rows.select("row", "doc_id").join(groups, "row")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    first = ids.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("keep"))
-    dropped = ids.join(first, "row", "left").filter("keep IS NULL").select("row")
-    return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
+    rows = _named(docs)
+
+    def decide() -> DataFrame:
+        """The rows that go, and those that stay once of several equal ones."""
+        found = jaccard.near_duplicates(_keyed(rows)).filter("n > 0").select(F.col("id").alias("row"), "component")
+        groups = found.groupBy("row").agg(F.min("component").alias("component"), F.count("*").alias("copies"))
+        ids = rows.select("row", "doc_id").distinct().join(groups, "row")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        first = ids.groupBy("component").agg(F.min(order).alias("first"))
+        kept = first.select(F.col("first.row").alias("row"), F.lit(True).alias("keep"))
+        marked = groups.join(kept, "row", "left").select("row", F.coalesce("keep", F.lit(False)).alias("keep"), "copies")
+        return marked.filter("NOT keep OR copies > 1")
+
+    marked = rows.join(decided(spark, "near_copies", decide), "row", "left")
+    single = marked.filter("keep IS NULL").select(*COLUMNS)
+    return single.union(marked.filter("keep").select(*COLUMNS).distinct())
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +73,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A cut may fall inside a character; its remaining bytes are replaced by the replacement character.
     Texts that were empty or null before stay as they are.
     """
-    rows = _numbered(docs)
-    found = repeats.remove_repeats(rows.select(F.col("row").alias("doc_id"), "text"))
-    cut = found.filter("n_removed > 0").select(F.col("id").alias("row"), "kept", "n_bytes", "n_removed")
-    joined = rows.join(cut, "row", "left").filter("n_removed IS NULL OR n_removed < n_bytes")
+    rows = _named(docs)
+
+    def decide() -> DataFrame:
+        found = repeats.remove_repeats(_keyed(rows)).filter("n_removed > 0")
+        # Equal rows lose the same bytes.
+        return found.groupBy(F.col("id").alias("row")).agg(*[F.max(c).alias(c) for c in ("kept", "n_bytes", "n_removed")])
+
+    joined = rows.join(decided(spark, "cut", decide), "row", "left").filter("n_removed IS NULL OR n_removed < n_bytes")
     text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(_decode(F.col("kept")))
     return _renewed(joined, text)
 
@@ -74,11 +91,10 @@ def _decode(raw: Column) -> Column:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
-    rows = _numbered(docs)
-    found = decontaminate.decontaminate(
-        rows.select(F.col("row").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark")
-    )
-    hit = found.filter("n_hit > 0").select(F.col("id").alias("row"))
+    rows = _named(docs)
+    items = _table(spark, sf_dir, "benchmark")
+    find = lambda: decontaminate.decontaminate(_keyed(rows), items).filter("n_hit > 0")
+    hit = decided(spark, "contaminated", lambda: find().select(F.col("id").alias("row")).distinct())
     return rows.join(hit, "row", "left_anti").select(*COLUMNS)
 
 

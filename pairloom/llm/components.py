@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.session import scratch_dir
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_tables: list[str] = []
+
+
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cut the lineage: a table in the shared folder."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def decided(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` returns, and remove the tables that were written on the way.
+
+    Nothing that is kept may still read them; the result does not, since it is a table itself.
+    """
+    mark = len(_tables)
+    result = written(build(), label)
+    for path in _tables[mark:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _tables[mark:-1]
+    return result
+
+
 def spanning(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch of edges as stars of the same components."""
     for batch in batches:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pairloom.llm import shards as sh
+from pairloom.llm.components import written
 
 LENGTH = 400
 ORDER = 11  # of the field: period 133, 12 sampled residues
@@ -231,20 +232,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, ke
         yield _result(shard, now.covered(sh.notes_of(notes, REST)), keep_bytes)
 
     sampled = sh.answer(sh.per_shard(shards, sample, sh.NAMES_SCHEMA), SAMPLE, _is_shared)
-    notes = _kept(sampled)
+    # The answers of a round are written: a lost executor repeats one round, not all of them.
+    notes = written(sampled, "notes")
     named = sh.answer(sh.with_notes(shards, notes, context, sh.NAMES_SCHEMA), CONTEXT, _judge_contexts)
-    notes = notes.union(_kept(named))
+    notes = notes.union(written(named, "notes"))
     merged = sh.answer(sh.with_notes(shards, notes, rest, sh.NAMES_SCHEMA), REST, _is_shared)
     return sh.with_notes(shards, notes.union(merged), finish, RESULT)
 
 
-def _kept(notes: DataFrame) -> DataFrame:
-    """Write the answers of a round: a lost executor repeats one round, not all of them."""
-    path = sh.scratch_dir(notes.sparkSession, "notes")
-    notes.write.parquet(path)
-    return notes.sparkSession.read.schema(sh.NOTES_SCHEMA).parquet(path)
-
-
 def _result(shard: sh.Shard, covered: np.ndarray, keep_bytes: bool) -> pa.RecordBatch:
     rows = []
     for i in range(len(shard)):

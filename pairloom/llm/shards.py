@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import scratch_dir, shuffle_width
+from pairloom.llm.components import written
+from pairloom.session import shuffle_width
 
 SHARD_BYTES = 2 << 20
 MAX_SLOTS = 1 << 16  # rows of a shard, so that shard * MAX_SLOTS + slot is one long
@@ -73,12 +74,9 @@ def _pack(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordB
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = SHARD_BYTES) -> DataFrame:
     """Documents as a written table of shards. A text longer than ``target`` has a shard of its own."""
-    path = scratch_dir(docs.sparkSession, "shards")
     pairs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    pairs.mapInArrow(lambda batches: _pack(batches, target), SHARD_SCHEMA).write.option(
-        "compression", "uncompressed"
-    ).parquet(path)
-    return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
+    packed = pairs.mapInArrow(lambda batches: _pack(batches, target), SHARD_SCHEMA)
+    return written(packed, "shards", "uncompressed")
 
 
 class Shard:
