@@ -43,13 +43,16 @@ def hash_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     """64-bit hashes of data[begin:end], all words at once."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    size = end - begin
-    longest = int(size.max())
-    power = np.cumprod(np.full(longest, _BASE, np.uint64))
-    total = int(size.sum())
-    first = np.cumsum(size) - size
-    place = np.arange(total) - np.repeat(first, size)
-    value = _CODES[data[np.repeat(begin, size) + place]] * power[place]
+    # Offsets of a shard fit in 32 bits; arrays as long as the text are kept few.
+    kind = np.int32 if end[-1] < 2**31 else np.int64
+    size = (end - begin).astype(kind)
+    power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
+    first = np.cumsum(size, dtype=kind) - size
+    place = np.arange(int(size.sum()), dtype=kind)
+    place -= np.repeat(first, size)
+    value = power[place]
+    place += np.repeat(begin.astype(kind), size)
+    value *= _CODES[data[place]]
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
