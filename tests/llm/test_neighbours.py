@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pairloom.llm.neighbours import hilbert_keys, nearest
+from pairloom.llm.neighbours import hilbert_keys, nearest, run_length
 
 
 def brute(rows, top, every):
@@ -53,3 +54,20 @@ def test_recall(spark):
     got, want = result(nearest(df, run=128, curves=20)), brute(rows, 20, 20)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_runs_follow_the_table(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20, 100)
+
+    def recall(**sizes):
+        got = result(nearest(df, every=100, curves=10, run=16, group=4, **sizes))
+        return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+    # Fixed runs miss most neighbours of a table this size; runs that grow with it, over many blocks, find them.
+    assert recall(points_of_run=6000) < 0.6
+    assert recall(points_of_run=300) >= 0.9
+    grown = spark.createDataFrame([(n,) for n in (0, 51_200, 512_000)], "n long").select(run_length(F.col("n")).alias("run"))
+    assert [r.run for r in grown.collect()] == [1024, 1024, 9127]
