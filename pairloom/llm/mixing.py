@@ -120,9 +120,29 @@ def curriculum(docs: DataFrame, seed: int = SEED, start: tuple = START, end: tup
     )
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per lap that takes of a document, range-sorted by ``position``."""
+def training_order(mixed: DataFrame, untaken: bool = False) -> DataFrame:
+    """One row per lap that takes of a document, range-sorted by ``position``; ``untaken`` keeps the others, without a lap."""
     size = F.col("size")
-    laps = mixed.select(*mixed.columns, F.posexplode("positions").alias("lap", "position")).drop("positions")
-    words = F.least(size, F.col("taken") - F.col("lap") * size)
+    explode = F.posexplode_outer if untaken else F.posexplode
+    laps = mixed.select(*mixed.columns, explode("positions").alias("lap", "position")).drop("positions")
+    words = F.when(F.col("lap").isNotNull(), F.least(size, F.col("taken") - F.col("lap") * size))
     return laps.withColumn("words", words).orderBy("position", F.asc_nulls_last("doc_id"), "lap")
+
+
+def first_positions(mixed: DataFrame) -> DataFrame:
+    """One row per document from its laps in ``training_order``, range-sorted by ``first_position`` (null: not taken, last).
+
+    ``taken`` is the sum of the words of its laps. Rows that agree in all columns are put together and dealt out again.
+    """
+    laps = training_order(mixed.withColumn("_first", F.get("positions", F.lit(0))), untaken=True)
+    own = [c for c in mixed.columns if c not in ("taken", "positions")]
+    copies = F.sum(F.when(F.coalesce("lap", F.lit(0)) == 0, 1).otherwise(0)).cast("int")
+    documents = laps.groupBy(*own, "_first").agg(
+        F.min("position").alias("first_position"), F.coalesce(F.sum("words"), F.lit(0)).alias("_words"), copies.alias("_copies")
+    )
+    return (
+        documents.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .withColumn("taken", F.expr("_words div _copies"))
+        .orderBy(F.asc_nulls_last("first_position"), F.asc_nulls_last("doc_id"))
+        .select(*own, "taken", "first_position")
+    )

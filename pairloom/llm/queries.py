@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairloom.llm import chat, decontaminate, jaccard, lm, mixing, neighbours, quality, repeats, toxicity, warc
@@ -118,10 +117,8 @@ FROM mixed""",
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.curriculum(docs).drop("text")
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")
-    )
+    ordered = mixing.first_positions(mixing.curriculum(docs).drop("text"))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 @query("op1_quality")

@@ -71,3 +71,16 @@ def test_empty(spark):
     assert mx.curriculum(df).count() == 0
     only = spark.createDataFrame([(1, None, None), (2, "", None)], "doc_id long, text string, source string")
     assert {(r.size, r.taken, r.target) for r in mx.curriculum(only).collect()} == {(0, 0, 0.0)}
+
+
+def test_documents_in_training_order(spark):
+    rows = documents(2) + [(7, "", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mx.curriculum(df).drop("text")
+    got = mx.first_positions(mixed).collect()
+    firsts = [r.first_position for r in got]
+    assert firsts == sorted(firsts, key=lambda p: (p is None, p or 0)) and None in firsts
+    key = lambda *row: repr(row)
+    want = [key(r.doc_id, r.source, r.size, r.taken, r.positions[0] if r.positions else None) for r in mixed.collect()]
+    assert any(r.taken > r.size for r in got)
+    assert sorted(key(r.doc_id, r.source, r.size, r.taken, r.first_position) for r in got) == sorted(want)
