@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm import shards as sh
@@ -168,12 +168,30 @@ def search_index(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame
     return index.mapInArrow(search, HITS)
 
 
-def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """Items with a block number, and the number of blocks."""
-    words = F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    total = benchmark.agg(F.sum(words)).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    return benchmark.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
+def _blocks(benchmark: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """Different items with a block number, and the number of blocks; a block has less than 2 * BLOCK_WORDS words.
+
+    Items beyond BLOCK_WORDS words are cut into pieces that overlap by ``window - 1`` words, so each window is in one.
+    Blocks are cut by running sums of words: sums of hash buckets give offsets, rows are summed inside their bucket.
+    """
+    found, limit = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", max(BLOCK_WORDS, window)
+    words = F.coalesce(F.regexp_count(F.col("text"), F.lit(found)), F.lit(0)).cast("long")
+    step = limit - window + 1
+    starts = F.sequence(F.lit(1), F.greatest(F.col("words") - F.lit(window - 1), F.lit(1)).cast("int"), F.lit(step))
+    every = F.regexp_extract_all(F.col("text"), F.lit(found), F.lit(0))
+    piece = lambda s: F.array_join(F.slice(every, s, limit), " ")
+    texts = F.when(F.col("words") <= limit, F.array("text")).otherwise(F.transform(starts, piece))
+    pieces = benchmark.distinct().withColumn("words", words).filter("words > 0").select("item_id", F.explode(texts).alias("text"))
+    pieces = pieces.distinct().withColumn("words", F.regexp_count(F.col("text"), F.lit(found)).cast("long"))
+    pieces = written(pieces.withColumn("h", F.xxhash64("item_id", "text")).withColumn("bucket", F.pmod("h", F.lit(1024))), "items")
+    before = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = pieces.groupBy("bucket").agg(F.sum("words").alias("words"))
+    offsets = sums.select("bucket", before(Window.orderBy("bucket")).alias("offset"))
+    inside = before(Window.partitionBy("bucket").orderBy("h", "item_id", "text"))
+    placed = pieces.withColumn("inside", inside).join(offsets, "bucket")
+    blocks = placed.select("item_id", "text", F.floor((F.col("offset") + F.col("inside")) / limit).alias("block"))
+    last = blocks.agg(F.max("block")).first()[0]
+    return blocks, (last or 0) + 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -187,9 +205,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     if not 0 <= slop < GAP - window:
         raise ValueError(f"a window of {window} words leaves no room for a slop of {slop}")
-    items, count = _blocks(benchmark.select("item_id", "text"))
+    items, count = _blocks(benchmark.select("item_id", "text"), window)
     if count == 1:
-        rows = items.select("item_id", "text").collect()  # at most BLOCK_WORDS words
+        rows = items.select("item_id", "text").collect()  # less than 2 * BLOCK_WORDS words
         windows = Windows([r[0] for r in rows], [r[1] for r in rows], window)
         index = build_index(docs, windows.vocabulary if len(windows.vocabulary) <= MAX_TERMS else None)
         return search_index(index, windows, slop)
@@ -212,7 +230,8 @@ def _merge(index: DataFrame, parts: list[DataFrame]) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("matches")).alias("matches"),
     )
-    words = "transform(matches, m -> sequence(greatest(m.start, 0), m.stop - 1))"
+    inside = "filter(matches, m -> m.start < n_words AND m.stop > 0)"
+    words = f"transform({inside}, m -> sequence(greatest(m.start, 0), least(m.stop, n_words) - 1))"
     return base.join(hits, "node", "left").select(
         "node",
         "id",

@@ -75,3 +75,24 @@ def test_proximity(spark):
     found = dc.decontaminate(*frames(spark, docs, [(5, "alpha beta gamma delta")]), slop=1)
     got = {r.id: [(m.start, m.exact) for m in r.matches] for r in found.collect()}
     assert got[1] == [(0, True)] and len(got[2]) == 1 and not got[2][0][1] and got[3] == [] and got[4] == []
+
+
+def test_blocks_are_bounded_and_cut_no_window(spark, monkeypatch):
+    from pairloom.llm import decontaminate as dc
+
+    long = " ".join(f"w{i}" for i in range(95))
+    items = [(1, "same row of words " * 3)] * 200 + [(2, long)] + [(i, f"a{i} b{i} c{i}") for i in range(3, 40)] + [(50, None), (51, "--")]
+    docs = [(1, "x " + long), (2, "w28 w29 w30 w31"), (3, "a7 b7 c7"), (4, "a7 x b7 c7"), (5, "nothing"), (6, None), (7, "b9 c9")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole = {s: sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in dc.decontaminate(d, b, 4, s).collect()) for s in (0, 1)}
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 30)
+    blocks, count = dc._blocks(b, 4)
+    sizes = {}
+    for r in blocks.collect():
+        sizes[r.block] = sizes.get(r.block, 0) + len(r.text.split())
+    assert count > 2 and max(sizes.values()) < 60
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 80)
+    for slop, want in whole.items():
+        got = sorted((r.id, r.n_words, r.n_hit, r["items"]) for r in dc.decontaminate(d, b, 4, slop).collect())
+        assert got == want
