@@ -5,9 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import chat, decontaminate, jaccard, lm, mixing, neighbours, quality, repeats, toxicity, warc
+from pairloom.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    jaccard,
+    line_index,
+    lm,
+    mixing,
+    negatives,
+    neighbours,
+    quality,
+    repeats,
+    toxicity,
+    warc,
+)
 from pairloom.plans.sql import u
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +184,89 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_attention_scores")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+FINITE = "embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))"
+
+
+@query(
+    "op11_hard_negatives",
+    f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % {negatives.MOVED} = 0 THEN (label + 1) % {negatives.LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % {negatives.EVERY} = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {negatives.POSITIVES})
+SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, other AS negative_id,
+  positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER best <= {negatives.NEGATIVES}""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds() -> str:
+    """Assignment (a) and new centroids (c) of every round."""
+    steps = []
+    for n in range(centroids.ROUNDS + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT i, c, list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c{n}.x) + list_inner_product(c{n}.x, c{n}.x) AS d
+    FROM v, c{n}) GROUP BY i)""")
+        steps.append(f"""
+c{n + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.x, c{n}.x) AS x FROM c{n} LEFT JOIN (
+    SELECT c, list(s ORDER BY pos) AS x FROM (
+      SELECT c, pos, floor(sum(e)::BIGINT / count(*)) AS s
+      FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM a{n} JOIN v USING (i)) GROUP BY c, pos)
+    GROUP BY c) m USING (c))""")
+    return ",".join(steps[:-1])
+
+
+@query(
+    "op12_bisector_clusters",
+    f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)) AS x
+  FROM embeddings WHERE len(embedding) = {centroids.DIMS} AND {FINITE}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (
+    SELECT sha256('{centroids.SEED}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {centroids.CENTROIDS})),
+{_rounds()}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c{centroids.ROUNDS}.x, lambda e: e::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN v USING (i) JOIN c{centroids.ROUNDS} USING (c)""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_line_dedup",
+    f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut)),
+held AS (
+  SELECT key, min(doc_id) AS keeper FROM lines WHERE length(key) >= {line_index.MIN_POINTS}
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT lines.*, keeper IS NOT NULL AND keeper <> doc_id AS drop FROM lines LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE drop) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT drop), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_index.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
