@@ -36,8 +36,9 @@ def scan_lines(spark, sf):
 
 @query("scan_line_range", f"SELECT * FROM ({_DOC_LINES}) WHERE line_no >= 100 AND line_no < 10000000")
 def scan_line_range(spark, sf):
-    path = _write_documents(spark, sf, "range")
-    return src.read_line_range(spark, path, 100, 10_000_000).select("line_no", "line")
+    path, index = _write_documents(spark, sf, "range"), scratch_dir(spark, "index")
+    src.index_lines(spark, path, index)
+    return src.read_line_range(spark, path, 100, 10_000_000, index).select("line_no", "line")
 
 
 @query("head_copy", f"SELECT * FROM ({_DOC_LINES}) WHERE line_no < 150")

@@ -2,81 +2,130 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
+from urllib.parse import unquote
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import strip
 from pairloom.functions.tokens import MAX_TOKENS, Vocabulary
 from pairloom.functions.util import as_col
 
-_SPLITS = pa.schema(
-    [("path", pa.string())] + [(name, pa.int64()) for name in ("_start", "_first", "_count", "_offset")]
-)
-
 BROADCAST_SPLITS = 200_000  # about 30 MB
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file, or of one folder of part files in name order, with their numbers.
-
-    Spark numbers rows only within a task. The line count of every split is taken in one pass; the
-    offset of a split is then the number of lines before it. That table has a row per split, the
-    same order of size as the split list the driver plans every scan from, so it may be collected;
-    up to BROADCAST_SPLITS rows it is broadcast, and the lines themselves are not shuffled. A split that
-    the first pass did not see stops the scan.
-    """
-    raw = spark.read.text(path).select(
+def _scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with the file and split they come from; ``_row`` orders the lines of a split."""
+    return spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_size").alias("_size"),
         F.monotonically_increasing_id().alias("_row"),
         "value",
     )
-    splits = (
-        raw.groupBy("path", "_start")
-        .agg(F.min("_row").alias("_first"), F.count("*").alias("_count"))
-        .collect()
-    )
-    splits.sort(key=lambda s: (s["path"], s["_start"]))
-    offsets = [0, *accumulate(s["_count"] for s in splits)]
-    columns = {name: [s[name] for s in splits] for name in ("path", "_start", "_first", "_count")}
-    table = spark.createDataFrame(pa.table({**columns, "_offset": offsets[: len(splits)]}, _SPLITS))
+
+
+def _splits(scan: DataFrame) -> DataFrame:
+    """One row per split of a scan: its first ``_row``, its lines (``_count``), the lines before it and its file's size.
+
+    The window holds a row per split in one task, no more than the split list from which the driver plans every scan.
+    """
+    counted = scan.groupBy("path", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_count"), F.max("_size").alias("_size"))
+    before = Window.orderBy("path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+
+
+def _most_splits(scan: DataFrame) -> int:
+    """An upper bound of the splits of a scan, from sizes that the driver knows without a job."""
+    spark = scan.sparkSession
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return size // limit + spark.sparkContext.defaultParallelism + len(scan.inputFiles())
+
+
+def _numbered(spark: SparkSession, paths: str | list[str], base: int = 0) -> DataFrame:
+    """Lines of one file, or of one folder of part files in name order, with their numbers from ``base`` on.
+
+    Spark numbers rows only within a task. A first pass counts the lines of every split; the offset of a split is then
+    the number of lines before it. All of that is part of the plan: nothing runs while the frame is built. Up to
+    BROADCAST_SPLITS splits their table is broadcast, and the lines themselves are not shuffled. A split that
+    the first pass did not see stops the scan.
+    """
+    scan = _scan(spark, paths)
+    splits = _splits(scan)
+    if _most_splits(scan) <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     at = F.col("_row") - F.col("_first")
-    # Both scans cut the files alike; if that ever failed, stop instead of misnumbering.
+    # Both passes cut the files alike; if that ever failed, stop instead of misnumbering.
     checked = F.when((at >= 0) & (at < F.col("_count")), at).otherwise(
-        F.raise_error(F.lit("the splits changed between two scans of " + path))
+        F.raise_error(F.lit(f"the splits changed between two scans of {paths}"))
+    )
+    return scan.join(splits.drop("_size"), ["path", "_start"], "left").select(
+        "path", (F.col("_offset") + checked + base).alias("line_no"), "value"
     )
-    if len(splits) <= BROADCAST_SPLITS:
-        table = F.broadcast(table)
-    return raw.join(table, ["path", "_start"], "left").select(
-        "path", (F.col("_offset") + checked).alias("line_no"), "value"
+
+
+def index_lines(spark: SparkSession, path: str, index: str) -> None:
+    """Store a sparse index of the lines of ``path``: a row per split with its file, the file's size, its place,
+    its first line and its number of lines. It is written once and spares every later range the files outside it."""
+    rows = _splits(_scan(spark, path)).select(
+        "path", F.col("_size").alias("size"), F.col("_start").alias("start"), F.col("_offset").alias("first_line"), F.col("_count").alias("lines")
     )
+    rows.write.mode("overwrite").parquet(index)
+
+
+def _indexed(spark: SparkSession, index: str, first: int, end: int) -> tuple[list[str], int]:
+    """The files that hold lines ``[first, end)``, in order, and the number of the first line of the first one."""
+    splits = spark.read.parquet(index)
+    hit = splits.filter(F.lit(first < end) & (F.col("first_line") < end) & (F.col("first_line") + F.col("lines") > first)).select("path").distinct()
+    files = splits.join(hit, "path").groupBy("path").agg(F.min("first_line").alias("first_line"), F.max("size").alias("size"))
+    rows = sorted(files.collect(), key=lambda r: r["first_line"])  # the file list of the scan to come
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for r in rows:
+        file = hadoop(_location(r["path"]))
+        if file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen() != r["size"]:
+            raise ValueError(f"{r['path']} has changed since {index} was written")
+    return [_location(r["path"]) for r in rows], rows[0]["first_line"] if rows else 0
+
+
+def _location(uri: str) -> str:
+    """Where a file lies, from the escaped form in which Spark names it."""
+    return unquote(uri)
+
+
+def _stripped(lines: DataFrame, path: str, file_no: int) -> DataFrame:
+    if path.endswith(".csv"):
+        lines = lines.withColumn("line_no", F.col("line_no") - 1).filter("line_no >= 0")
+    return lines.select(F.lit(file_no).alias("file_no"), "path", "line_no", strip("value").alias("line"))
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Stripped lines of several files in the given order: ``file_no, path, line_no, line``.
 
-    ``line_no`` starts at 0 per entry of ``paths``. The first line of a ``.csv`` entry is skipped.
+    ``line_no`` starts at 0 per entry of ``paths``. The first line of a ``.csv`` entry is skipped. The files are passed over
+    twice, first to count the lines of their splits.
     """
-    frames = []
-    for file_no, path in enumerate(paths):
-        lines = _numbered(spark, path)
-        if path.endswith(".csv"):
-            lines = lines.withColumn("line_no", F.col("line_no") - 1).filter("line_no >= 0")
-        frames.append(
-            lines.select(F.lit(file_no).alias("file_no"), "path", "line_no", strip("value").alias("line"))
-        )
+    frames = [_stripped(_numbered(spark, path), path, file_no) for file_no, path in enumerate(paths)]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
 
 
-def read_line_range(spark: SparkSession, path: str, first: int, end: int) -> DataFrame:
-    """Lines ``[first, end)``. A range beyond the end of the file gives the lines there are."""
-    return read_lines(spark, [path]).filter((F.col("line_no") >= first) & (F.col("line_no") < end))
+def read_line_range(spark: SparkSession, path: str, first: int, end: int, index: str | None = None) -> DataFrame:
+    """Lines ``[first, end)`` as ``read_lines`` gives them. A range beyond the end of the file gives the lines there are.
+
+    With an ``index`` of ``path`` only the files that hold the range are opened; a file whose size differs from the index
+    raises an error. Without one all files are.
+    """
+    here = (F.col("line_no") >= first) & (F.col("line_no") < end)
+    if index is None:
+        return read_lines(spark, [path]).filter(here)
+    header = int(path.endswith(".csv"))
+    files, base = _indexed(spark, index, first + header, end + header)
+    if not files:
+        return spark.createDataFrame([], "file_no int, path string, line_no bigint, line string")
+    return _stripped(_numbered(spark, files, base), path, 0).filter(here)
 
 
 def write_lines(df: DataFrame, order: list[str], line: Column | str, path: str) -> None:
@@ -94,9 +143,22 @@ def write_lines(df: DataFrame, order: list[str], line: Column | str, path: str)
     )
 
 
-def head_copy(spark: SparkSession, src: str, dst: str, n: int) -> None:
-    """Copy the first ``n`` lines to a new place, in order."""
-    write_lines(_numbered(spark, src).filter(F.col("line_no") < n), ["line_no"], "value", dst)
+def _head_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first files of ``path`` in name order that together hold ``n`` lines; files are counted in growing groups."""
+    files = sorted(spark.read.text(path).inputFiles())
+    taken = lines = 0
+    while lines < n and taken < len(files):
+        group = [_location(f) for f in files[taken : 2 * taken + 1]]
+        lines += spark.read.text(group).count()
+        taken += len(group)
+    return [_location(f) for f in files[:taken]]
+
+
+def head_copy(spark: SparkSession, src: str, dst: str, n: int, index: str | None = None) -> None:
+    """Copy the first ``n`` lines to a new place, in order. Files behind them are not opened."""
+    files = _indexed(spark, index, 0, n)[0] if index else _head_files(spark, src, n)
+    lines = _numbered(spark, files) if files else spark.createDataFrame([], "line_no bigint, value string")
+    write_lines(lines.filter(F.col("line_no") < n), ["line_no"], "value", dst)
 
 
 def read_vocab(spark: SparkSession, path: str) -> Vocabulary:
