@@ -14,10 +14,13 @@ from pairloom.session import scratch_dir
 _tables: list[str] = []
 
 
+ROW_GROUP = 16 << 20  # a writer holds a row group in memory; whole texts fill the usual 128 MB
+
+
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cut the lineage: a table in the shared folder."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
