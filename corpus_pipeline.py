@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """Rows with the hash of all their columns in ``row``."""
-    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS))
+    """Rows with the hash of all their columns in ``row``; nulls are hashed too, since the hash alone would skip them."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -35,7 +35,10 @@ def _renewed(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects; it is fitted on the labels of this stage's documents."""
+    """Drop the documents that the classifier rejects; it is fitted on the labels of this stage's documents.
+
+    Null and empty texts are scored as empty ones, whatever that gives; ids may be null or repeat; an empty table gives none.
+    """
     rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
     base = docs.select(*COLUMNS)
     stats = base.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -90,7 +93,7 @@ def _decode(raw: Column) -> Column:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a window of a benchmark item."""
+    """Drop the documents that hold a window of a benchmark item. Those without words hold none and stay."""
     rows = _named(docs)
     items = _table(spark, sf_dir, "benchmark")
     find = lambda: decontaminate.decontaminate(_keyed(rows), items).filter("n_hit > 0")
@@ -99,7 +102,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: one row per lap that takes of a document, range-sorted by its position."""
+    """The training order: one row per lap that takes of a document, range-sorted by its position.
+
+    Documents without words have nothing to take and no row; a null source is a source of its own.
+    """
     mixed = mixing.curriculum(docs.select("doc_id", "text", "source"))
     ordered = mixing.training_order(mixed.drop("text"))
     return ordered.select("doc_id", "source", "size", "target", "taken", "lap", "words", "position")
