@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.rand import uniform
+from pairloom.operators.stretches import DEPTH, STRETCH, TIE, cut_stretches, same_keys
 from pairloom.session import shuffle_width
 
 
@@ -73,39 +74,33 @@ def _shuffle_positions(
     )
 
 
-# The stretch of rows without an order, behind all others.
-_NO_STRETCH = 2**62
-
-
 def grouped_positions(
-    df: DataFrame, keys: list[str], order: str, width: int = 100_000, out: str = "pos"
+    df: DataFrame, keys: list[str], order: str, ties: list[str] | None = None, out: str = "pos", depth: int = DEPTH
 ) -> DataFrame:
-    """Position of every row among the rows of its keys, by a whole-number ``order`` column.
+    """Position of every row among the rows of its keys by ``order``, equal values by a hash of ``ties`` (all columns if not given).
 
-    A key is cut in stretches of ``width`` order values, so a hot key is ranked by many tasks. Null keys form
-    a key of their own, and rows without an order come last in their key; every row has a position.
+    Keys with a large share of the rows are cut in stretches of equal size (``cut_stretches``) and ranked by many tasks,
+    whatever the values of ``order`` are. Null keys form a key of their own, and rows without an order come last in their
+    key; every row has a position. The rows are shuffled once: only keys that are cut, whose number is bounded, need offsets.
     """
-    last = Window.partitionBy(*keys)
-    cut = df.withColumn("_stretch", F.coalesce(F.floor(F.col(order) / width), F.lit(_NO_STRETCH)))
-    before = last.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut_stretches(df, keys, order, ties, depth)
+    before = Window.partitionBy(*keys).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_stretch")
+        cut.filter(F.col(STRETCH).isNotNull())
+        .groupBy(*keys, STRETCH)
         .count()
         .select(
             *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
-            F.col("_stretch").alias("_at"),
+            F.col(STRETCH).alias("_at"),
             F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"),
         )
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(F.asc_nulls_last(order)))
-    same = F.col("_stretch") == F.col("_at")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, STRETCH).orderBy(F.asc_nulls_last(order), TIE))
     return (
         cut.withColumn("_rank", inside)
-        .join(offsets, same, "left")
-        .withColumn(out, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_stretch", "_rank", "_offset", "_at", *[f"_key{i}" for i in range(len(keys))])
+        .join(F.broadcast(offsets), same_keys(keys) & (F.col(STRETCH) == F.col("_at")), "left")
+        .withColumn(out, F.coalesce("_offset", F.lit(0)) + F.col("_rank") - 1)
+        .drop(STRETCH, TIE, "_rank", "_offset", "_at", *[f"_key{i}" for i in range(len(keys))])
     )
 
 
@@ -125,18 +120,25 @@ def last_rows(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return few.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_lot")
 
 
-def pad_tail(df: DataFrame, order: str, size: int, exact: bool = False) -> DataFrame:
+def pad_tail(df: DataFrame, order: str, size: int, exact: bool = False, ties: list[str] | None = None) -> DataFrame:
     """Append copies of the first ``size - n % size`` rows; ``copy`` tells 0 from 1.
 
-    Where ``size`` divides ``n`` that is one whole extra batch; ``exact`` leaves it out. The head
-    is a top-``size``, so neither the sort nor the ranking sees more than one batch.
+    Where ``size`` divides ``n`` that is one whole extra batch; ``exact`` leaves it out. ``order``, with the columns ``ties``
+    behind it, must tell the first rows apart, or the job stops. Only these columns are read to find the last row to be copied
+    (a top-``size``); the rows themselves pass once, and those up to it come twice.
     """
+    key = F.struct(order, *(ties or []))
     missing = F.lit(size) - df.agg(F.count("*")).scalar() % size
     if exact:
         missing = missing % size
-    head = df.orderBy(order).limit(size).withColumn("_rank", F.row_number().over(Window.orderBy(order)))
-    copies = head.filter(F.col("_rank") <= missing).drop("_rank")
-    return df.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
+    first = df.select(key.alias("_key")).orderBy("_key").limit(size + 1).agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
+    first = first.withColumn("_n", F.least(missing, F.size("_keys")).cast("int"))
+    last, following = F.get("_keys", F.col("_n") - 1), F.get("_keys", F.col("_n"))
+    same = F.raise_error(F.lit(f"rows of one {order} can not be told apart"))
+    bound = first.select(F.when((F.col("_n") > 0) & (last == following), same).otherwise(last)).scalar()
+    # Without a row to copy there is no bound, and the comparison is null.
+    twice = F.when(key <= F.col("_bound"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("_bound", bound).select(*df.columns, F.explode_outer(twice).alias("copy"))
 
 
 def assign_shards(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.rand import normals_of, row_words, uniform_int
 from pairloom.functions.vectors import sum_of_squares, to_double
-from pairloom.operators.blocks import batch_products, list_column, matrix
+from pairloom.operators.blocks import batch_best, batch_products, list_column, matrix
 from pairloom.operators.noise import held
 from pairloom.operators.rows import unnest
 from pairloom.operators.vectors import top_k
@@ -40,6 +40,32 @@ def _fold_rounds(alpha_bars: np.ndarray, dims: int):
     return fold
 
 
+def _folded(
+    df: DataFrame, coefs: DataFrame, batch: str, pos: str, query: str, candidate: str, dims: int, n_iter: int, seed: int, lo: int, hi: int
+) -> DataFrame:
+    """Queries and candidates as vectors whose dot product and ``_const`` are the error: ``_left``, ``_right``."""
+    table = held(coefs.select("t", "alpha_bar")).toArrow().sort_by("t")
+    fold = _fold_rounds(table["alpha_bar"].to_numpy(), dims)
+    rounds = [F.lit(r) for r in range(n_iter)]
+    words = [row_words(seed + 1, r, pos) for r in rounds]
+    folded = df.withColumn(
+        "_f",
+        fold(
+            to_double(query),
+            F.array(*[uniform_int(seed, lo, hi, r, pos) for r in rounds]),
+            F.array(*[a for a, _ in words]),
+            F.array(*[b for _, b in words]),
+        ),
+    )
+    kept = [c for c in df.columns if c not in (query, candidate)]
+    return place(folded.select(*kept, to_double(candidate).alias("_c"), "_f"), batch).select(
+        *kept,
+        F.element_at("_f", dims + 2).alias("_const"),
+        F.slice("_f", 1, dims + 1).alias("_left"),
+        F.concat("_c", F.array(sum_of_squares("_c"))).alias("_right"),
+    )
+
+
 def score_candidates(
     df: DataFrame,
     coefs: DataFrame,
@@ -60,34 +86,48 @@ def score_candidates(
     product with c and a multiple of ``|c|^2``, and all three add up over the rounds. So the rounds
     are folded per query, row by row, and each pair costs one dot product instead of ``n_iter``.
     The only shuffle is the one by batch. The schedule (at most MAX_STEPS numbers) goes with the
-    function.
+    function. All scores of a batch are held; ``best_candidates`` holds the best only.
     """
-    table = held(coefs.select("t", "alpha_bar")).toArrow().sort_by("t")
-    fold = _fold_rounds(table["alpha_bar"].to_numpy(), dims)
-    rounds = [F.lit(r) for r in range(n_iter)]
-    words = [row_words(seed + 1, r, pos) for r in rounds]
-    folded = df.withColumn(
-        "_f",
-        fold(
-            to_double(query),
-            F.array(*[uniform_int(seed, lo, hi, r, pos) for r in rounds]),
-            F.array(*[a for a, _ in words]),
-            F.array(*[b for _, b in words]),
-        ),
-    )
-    kept = [c for c in df.columns if c not in (query, candidate)]
-    both = place(folded.select(*kept, to_double(candidate).alias("_c"), "_f"), batch).select(
-        *kept,
-        F.element_at("_f", dims + 2).alias("_const"),
-        F.slice("_f", 1, dims + 1).alias("_left"),
-        F.concat("_c", F.array(sum_of_squares("_c"))).alias("_right"),
-    )
+    both = _folded(df, coefs, batch, pos, query, candidate, dims, n_iter, seed, lo, hi)
     products = batch_products(both, [batch], pos, "_left", "_right")
     return products.withColumn(
         "scores", F.transform("products", lambda p: p + F.col("_const"))
     ).drop("products", "_const")
 
 
+def best_candidates(
+    df: DataFrame,
+    coefs: DataFrame,
+    batch: str,
+    pos: str,
+    query: str,
+    candidate: str,
+    dims: int,
+    n_iter: int,
+    seed: int,
+    lo: int = 50,
+    hi: int = 950,
+    k: int = 1,
+) -> DataFrame:
+    """Per query, the ``k`` candidates of its batch with the lowest summed error of ``score_candidates``.
+
+    Adds ``member``, ``found`` (structs of ``place`` and ``score``), ``best`` (the first place) and ``hit``. Scores that agree to
+    TIE_DIGITS places are ties, and the lower place wins. Products and selection are one step, so the square of a batch is never held.
+    """
+    both = _folded(df, coefs, batch, pos, query, candidate, dims, n_iter, seed, lo, hi)
+    rows = batch_best(both, [batch], pos, "_left", "_right", k, largest=False, digits=TIE_DIGITS, offset="_const")
+    return rows.withColumnRenamed("best", "found").withColumns(
+        {"best": F.get("found", F.lit(0))["place"], "hit": (F.get("found", F.lit(0))["place"] == F.col("member")).cast("int")}
+    )
+
+
+def ranked_candidates(best: DataFrame, hits_only: bool = True) -> DataFrame:
+    """The candidates that ``best_candidates`` found as rows ``rank, place, score``."""
+    rows = best.filter("hit = 1") if hits_only else best
+    keep = [c for c in rows.columns if c not in ("found", "best", "hit")]
+    return unnest(rows, keep, "found", "_c", "rank").select("*", "_c.place", "_c.score").drop("_c")
+
+
 def hits(scored: DataFrame) -> DataFrame:
     """Add ``best`` (the place of the lowest score; the lowest place of equals) and ``hit``."""
     rounded = F.transform("scores", lambda s: F.round(s, TIE_DIGITS))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.util import as_col, let
-from pairloom.operators.blocks import batch_products, list_column, matrix
+from pairloom.operators.blocks import batch_best, batch_products, matrix
 from pairloom.operators.rows import unnest
+from pairloom.operators.stretches import DEPTH, STRETCH, TIE, cut_stretches
 from pairloom.session import place
 
 # The range that the temperature is held in.
@@ -33,6 +34,13 @@ def similarity(df: DataFrame, batch: list[str], order: str, a: str, b: str) -> D
     return batch_products(df, batch, order, a, b).withColumnRenamed("products", "sim")
 
 
+def nearest(
+    df: DataFrame, batch: list[str], order: str, a: str, b: str, k: int, largest: bool = True, digits: int = 9
+) -> DataFrame:
+    """The first ``k`` of ``similarity``, as ``top_k`` selects them, in ``best``; the square of a batch is never held."""
+    return batch_best(df, batch, order, a, b, k, largest, digits)
+
+
 def top_k(scores: Column | str, k: int, largest: bool = True, digits: int = 9) -> Column:
     """The best ``k`` places of a score array as structs ``(place, score)``.
 
@@ -119,9 +127,28 @@ def memory_bank(df: DataFrame, batch: str, member: str, q: int, per_step: int =
     )
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    shifted = logits - logits.max(axis=1, keepdims=True)
-    return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+CHUNK_BATCHES = 32  # batches of a chunk of queries or candidates
+_BOTH, _QUERY, _BANK = 0, 1, 2  # what a row is in a pair of chunks
+_PARTS = "query_chunk bigint, batch_no bigint, rows bigint, candidates bigint, parts array<double>"
+_STATE = 6  # numbers of a partial sum
+
+
+def _partial_sums(logits: np.ndarray, soft: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What one chunk of candidates adds to the loss of each query (rows): the maximum and the sum of exponentials of the
+    logits, the same of the soft scores, the logits weighted by the latter, and the query's own logit."""
+    top, high = logits.max(axis=1), soft.max(axis=1)
+    weights = np.exp(soft - high[:, None])
+    return np.column_stack((top, np.exp(logits - top[:, None]).sum(axis=1), high, weights.sum(axis=1), (weights * logits).sum(axis=1), own))
+
+
+def _merged_loss(parts: np.ndarray, alpha: float) -> float:
+    """The mean loss of queries from their partial sums (chunk, query, number), each relative to its own maximum."""
+    top, high = parts[:, :, 0].max(axis=0), parts[:, :, 2].max(axis=0)
+    log_sum = top + np.log((parts[:, :, 1] * np.exp(parts[:, :, 0] - top)).sum(axis=0))
+    scale = np.exp(parts[:, :, 2] - high)
+    expected = (parts[:, :, 4] * scale).sum(axis=0) / (parts[:, :, 3] * scale).sum(axis=0)
+    own = np.nanmax(parts[:, :, 5], axis=0)  # one chunk has it
+    return float((log_sum - alpha * expected - (1.0 - alpha) * own).mean())
 
 
 def contrastive_loss(
@@ -142,45 +169,58 @@ def contrastive_loss(
 
     ``view1`` and ``view2`` are the momentum features: they fill the pools and the bank and give the soft
     targets. The logits' query side are the live features ``live1`` and ``live2``, the same columns if not given.
-
     ``alpha`` grows over ``ramp_batches`` batches where that is given (epoch 0).
+
+    Queries and candidates meet by pairs of chunks of CHUNK_BATCHES batches. A pair gives each query a partial softmax: a maximum,
+    sums relative to it, and expected logits. The partial sums of a query's chunks are merged, so no task ever
+    holds a whole bank, and what a row is sent to grows with the bank in chunks only.
     """
     temp = clamp_temp(temp)
     steps = _bank_steps(q, per_step)
-
-    def direction(live: np.ndarray, query: np.ndarray, pool: np.ndarray, a: float) -> float:
-        logp = _log_softmax(live @ pool.T / temp)
-        targets = a * np.exp(_log_softmax(query @ pool.T / temp))
-        own = np.arange(len(query))
-        targets[own, own] += 1.0 - a
-        return float(-(logp * targets).sum(axis=1).mean())
-
-    def per_block(block: pa.Table) -> pa.Table:
-        block = block.sort_by([("batch_no", "ascending"), ("member", "ascending")])
-        rows = block.num_rows
-        numbers = block["batch_no"].to_numpy()
-        members = block["member"].to_numpy()
-        home = block["home"].to_numpy()
-        v1, v2, l1, l2 = (matrix(block[c], rows) for c in ("v1", "v2", "l1", "l2"))
+    reach = -(-steps // CHUNK_BATCHES)  # chunks behind its own that a batch's bank lies in
+
+    def meet(pair: pa.Table) -> pa.Table:
+        pair = pair.sort_by([("batch_no", "ascending"), ("member", "ascending")])
+        role = pair["role"].to_numpy()
+        asked, offered = pair.filter(pa.array(role != _BANK)), pair.filter(pa.array(role != _QUERY))
+        at, pool_at = asked["batch_no"].to_numpy(), offered["batch_no"].to_numpy()
+        entered = offered["member"].to_numpy() < per_step
+        v1, v2, l1, l2 = (matrix(asked[c], asked.num_rows) for c in ("v1", "v2", "l1", "l2"))
+        p1, p2 = (matrix(offered[c], offered.num_rows) for c in ("v1", "v2"))
+        chunk = pair["query_chunk"][0].as_py()
+        home = chunk == pair["pool_chunk"][0].as_py()
+        out: list[tuple] = []
+        for b in np.unique(at):
+            mine = slice(np.searchsorted(at, b), np.searchsorted(at, b, side="right"))
+            here = slice(np.searchsorted(pool_at, b), np.searchsorted(pool_at, b, side="right"))
+            bank = np.arange(np.searchsorted(pool_at, b - steps), here.start)
+            pool = np.concatenate((np.arange(here.start, here.stop) if home else bank[:0], bank[entered[bank]]))
+            if not len(pool):
+                continue
+            sums = []
+            for live, query, candidates in ((l2, v2, p1), (l1, v1, p2)):
+                logits = live[mine] @ candidates[pool].T / temp
+                own = np.diagonal(logits) if home else np.full(len(logits), np.nan)
+                sums.append(_partial_sums(logits, query[mine] @ candidates[pool].T / temp, own))
+            out.append((chunk, int(b), len(sums[0]), len(pool), np.stack(sums).ravel()))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
+        names = ["query_chunk", "batch_no", "rows", "candidates", "parts"]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def merge(found: pa.Table) -> pa.Table:
+        found = found.sort_by("batch_no")
+        at = found["batch_no"].to_numpy()
         out: dict[str, list] = {"batch_no": [], "candidates": [], "loss": []}
-        here = home == block["block"][0].as_py()
-        for b in np.unique(numbers[here]):
-            own = slice(np.searchsorted(numbers, b), np.searchsorted(numbers, b, side="right"))
-            bank = slice(np.searchsorted(numbers, b - steps), own.start)
-            entered = members[bank] < per_step
+        for b in np.unique(at):
+            mine = found.slice(np.searchsorted(at, b), int((at == b).sum()))
+            parts = np.array(mine["parts"].to_pylist()).reshape(mine.num_rows, 2, -1, _STATE)
             a = alpha if ramp_batches is None else alpha * min(1.0, b / ramp_batches)
-            pool1 = np.concatenate([v1[own], v1[bank][entered]])
-            pool2 = np.concatenate([v2[own], v2[bank][entered]])
             out["batch_no"].append(int(b))
-            out["candidates"].append(len(pool1))
-            out["loss"].append(direction(l2[own], v2[own], pool1, a) + direction(l1[own], v1[own], pool2, a))
-        return pa.table(
-            {
-                "batch_no": pa.array(out["batch_no"], pa.int64()),
-                "candidates": pa.array(out["candidates"], pa.int64()),
-                "loss": pa.array(out["loss"], pa.float64()),
-            }
-        )
+            out["candidates"].append(sum(mine["candidates"].to_pylist()))
+            out["loss"].append(_merged_loss(parts[:, 0], a) + _merged_loss(parts[:, 1], a))
+        types = {"batch_no": pa.int64(), "candidates": pa.int64(), "loss": pa.float64()}
+        return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
     rows = df.select(
         F.col(batch).cast("bigint").alias("batch_no"),
@@ -190,41 +230,53 @@ def contrastive_loss(
         F.col(live1 or view1).cast("array<double>").alias("l1"),
         F.col(live2 or view2).cast("array<double>").alias("l2"),
     )
-    blocks = bank_blocks(rows, "batch_no", "member", q, per_step).withColumnRenamed("_home", "home")
-    return place(blocks, "block").groupBy("block").applyInArrow(
-        per_block, "batch_no bigint, candidates bigint, loss double"
-    )
+    chunk = F.floor(F.col("batch_no") / CHUNK_BATCHES)
+
+    def to(query_chunk: Column, pool_chunk: Column, role: int, wanted: Column = F.lit(True)) -> Column:
+        return F.when(wanted, F.struct(query_chunk.alias("query_chunk"), pool_chunk.alias("pool_chunk"), F.lit(role).alias("role")))
+
+    places = [to(chunk, chunk, _BOTH)]
+    for d in range(1, reach + 1):
+        reaches = (chunk >= d) & (F.col("batch_no") - steps < (chunk - d + 1) * CHUNK_BATCHES)
+        seen = (F.col("member") < per_step) & ((chunk + d) * CHUNK_BATCHES - steps <= F.col("batch_no"))
+        places += [to(chunk, chunk - d, _QUERY, reaches), to(chunk + d, chunk, _BANK, seen)]
+    sent = rows.withColumn("_to", F.explode(F.array_compact(F.array(*places)))).select("_to.*", *rows.columns)
+    # The bank is asked with momentum features only.
+    for c in ("l1", "l2"):
+        sent = sent.withColumn(c, F.when(F.col("role") != _BANK, F.col(c)))
+    partial = place(sent, "query_chunk", "pool_chunk").groupBy("query_chunk", "pool_chunk").applyInArrow(meet, _PARTS)
+    return partial.groupBy("query_chunk").applyInArrow(merge, "batch_no bigint, candidates bigint, loss double")
 
 
 def ema(
-    df: DataFrame, keys: list[str], order: str, value: str, decay: float, width: int = 100_000
+    df: DataFrame, keys: list[str], order: str, value: str, decay: float, ties: list[str] | None = None, depth: int = DEPTH
 ) -> DataFrame:
     """Last value of ``m <- decay * m + (1 - decay) * x`` per key, started at the first ``x``.
 
-    ``order`` is a whole-number column. A series is cut in stretches of ``width`` order values.
-    Each stretch gives one weighted sum; the number of later rows moves that sum to the end of the
-    series. So one long series is spread over many tasks, and no term is left out.
+    Rows come by ``order``, equal values by a hash of ``ties`` (all columns if not given), those without an order last.
+    A series with a large share of the rows is cut in stretches of equal size. Each stretch gives one weighted sum; the number
+    of later rows moves that sum to the end of the series. So one long series is spread over many tasks, and no term is left out.
     """
-    cut = df.select(*keys, order, F.col(value).cast("double").alias("_x")).withColumn(
-        "_stretch", F.floor(F.col(order) / width)
-    )
-    later = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(F.desc(order))) - 1
+    cut = cut_stretches(df.withColumn("_x", F.col(value).cast("double")), keys, order, ties, depth)
+    cut = cut.select(*keys, order, "_x", TIE, F.coalesce(STRETCH, F.lit(0)).alias(STRETCH))
+    place = Window.partitionBy(*keys, STRETCH)
+    later = F.row_number().over(place.orderBy(F.desc_nulls_first(order), F.desc(TIE))) - 1
     stretches = (
         cut.withColumn("_later", later)
-        .groupBy(*keys, "_stretch")
+        .groupBy(*keys, STRETCH)
         .agg(
             F.count("*").alias("_n"),
             F.sum(F.col("_x") * F.pow(F.lit(decay), F.col("_later"))).alias("_s"),
-            F.min_by("_x", order).alias("_head"),
+            F.max_by("_x", "_later").alias("_head"),
         )
     )
-    after = Window.partitionBy(*keys).orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc(STRETCH)).rowsBetween(Window.unboundedPreceding, -1)
     moved = stretches.withColumn("_after", F.coalesce(F.sum("_n").over(after), F.lit(0)))
     return (
         moved.groupBy(*keys)
         .agg(
             F.sum("_n").alias("n"),
-            F.min_by("_head", "_stretch").alias("_first"),
+            F.min_by("_head", STRETCH).alias("_first"),
             F.sum(F.col("_s") * F.pow(F.lit(decay), F.col("_after"))).alias("_sum"),
         )
         .select(

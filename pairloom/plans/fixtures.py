@@ -224,7 +224,7 @@ def train_log(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(
         (F.col("user_id") % 4).alias("worker"), "event_id", F.col("value").alias("loss"), "ts"
     )
-    placed = batching.grouped_positions(e, ["worker"], "event_id", out="at")
+    placed = batching.grouped_positions(e, ["worker"], "event_id", ["event_id"], out="at")
     return placed.withColumn("step", F.col("at") + 1).drop("at")
 
 

@@ -32,15 +32,18 @@ _SCORES = (
 )
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
+def scored(spark: SparkSession, sf: str, score=ret.score_candidates, **options) -> DataFrame:
     """Candidate scores per query: each vector is noised and searched in its own batch."""
     batches = fx.batched_vectors(spark, sf).select(
         "pos", "batch_no", "vec_id", F.col("x").alias("query"), F.col("x").alias("candidate")
     )
     coefs = noise.schedule(spark, "linear", fx.STEPS)
-    return ret.score_candidates(
-        batches, coefs, "batch_no", "pos", "query", "candidate", fx.DIMS, ROUNDS, _SEED, LO, HI
-    )
+    return score(batches, coefs, "batch_no", "pos", "query", "candidate", fx.DIMS, ROUNDS, _SEED, LO, HI, **options)
+
+
+def best(spark: SparkSession, sf: str, k: int = 1) -> DataFrame:
+    """The best candidates per query."""
+    return scored(spark, sf, ret.best_candidates, k=k)
 
 
 @query("retrieval_scores", f"WITH {_SCORES} SELECT pos, place, {sql.r6('score')} AS score FROM scored")
@@ -51,7 +54,7 @@ def retrieval_scores(spark, sf):
 
 @query("retrieval_hits", f"WITH {_SCORES} SELECT pos, vec_id, batch_no, member, best, hit FROM hit_rows")
 def retrieval_hits(spark, sf):
-    return ret.hits(scored(spark, sf)).select("pos", "vec_id", "batch_no", "member", "best", "hit")
+    return best(spark, sf).select("pos", "vec_id", "batch_no", "member", "best", "hit")
 
 
 @query(
@@ -60,8 +63,8 @@ def retrieval_hits(spark, sf):
     "FROM hit_rows h JOIN ranked r ON r.pos = h.pos AND r.rn <= 3 WHERE h.hit = 1",
 )
 def retrieval_top3(spark, sf):
-    best = ret.top_candidates(scored(spark, sf), 3)
-    return best.select("pos", "vec_id", "rank", "place", F.round("score", 6).alias("score"))
+    rows = ret.ranked_candidates(best(spark, sf, 3))
+    return rows.select("pos", "vec_id", "rank", "place", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -71,6 +74,6 @@ def retrieval_top3(spark, sf):
 )
 def retrieval_accuracy(spark, sf):
     """Accuracy per batch; a vector that was repeated to fill the tail counts once."""
-    hit_rows = ret.hits(scored(spark, sf)).select("vec_id", "pos", "hit")
+    hit_rows = best(spark, sf).select("vec_id", "pos", "hit")
     firsts = batching.keep_first(hit_rows, ["vec_id"], "pos")
     return ret.accuracy(firsts).withColumn("accuracy", F.round("accuracy", 6))

@@ -49,7 +49,8 @@ def _sims(spark, sf):
     f"SELECT pos, vec_id, rn - 1 AS rank, place, {sql.r6('sim')} AS score FROM r WHERE rn <= 3",
 )
 def pair_similarity_topk(spark, sf):
-    best = unnest(_sims(spark, sf), ["pos", "vec_id"], vec.top_k("sim", 3), "c", "rank")
+    views = fx.two_views(spark, sf).select("batch_no", "pos", "vec_id", "x", "y")
+    best = unnest(vec.nearest(views, ["batch_no"], "pos", "x", "y", 3), ["pos", "vec_id"], "best", "c", "rank")
     return best.select("pos", "vec_id", "rank", "c.place", F.round("c.score", 6).alias("score"))
 
 
@@ -111,7 +112,7 @@ def contrastive_loss(spark, sf):
     "FROM r GROUP BY event_type",
 )
 def ema_value(spark, sf):
-    out = vec.ema(table(spark, sf, "events"), ["event_type"], "event_id", "value", 0.995, width=4096)
+    out = vec.ema(table(spark, sf, "events"), ["event_type"], "event_id", "value", 0.995, ties=["event_id"])
     return out.withColumn("ema", F.round("ema", 6))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import batching as bat
+from pairloom.operators import stretches
 
 
 def u(seed, *keys):
@@ -56,6 +57,19 @@ def test_pad_tail(spark, n, exact, copies):
     assert sum(r["copy"] == 0 for r in rows) == n
 
 
+def test_pad_tail_reads_the_payload_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("id", "id % 3 AS g", "repeat('x', 9) AS payload").write.parquet(path)
+    df = bat.pad_tail(spark.read.parquet(path), "g", 4, ties=["id"])
+    assert sorted((r.g, r.id) for r in df.collect() if r["copy"] == 1) == [(0, 0), (0, 3)]
+    plan = bat.pad_tail(spark.read.parquet(path), "g", 4, ties=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("payload:string") == 1, plan
+    with pytest.raises(Exception, match="can not be told apart"):
+        bat.pad_tail(spark.read.parquet(path), "g", 4).collect()
+    nulls = spark.createDataFrame([(None, "a"), (5, "b"), (4, "c")], "o int, p string")
+    assert [r.p for r in bat.pad_tail(nulls, "o", 2).collect() if r["copy"] == 1] == ["a"]
+
+
 def test_union_sources_by_name(spark):
     a = spark.createDataFrame([(1, "x")], "i int, s string")
     b = spark.createDataFrame([("y", 2)], "s string, i int")
@@ -82,12 +96,46 @@ def test_keep_first_limits_rows_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_grouped_positions_of_a_hot_key(spark):
-    df = spark.range(1000).withColumn("k", F.when(F.col("id") % 10 == 0, "cold").otherwise("hot"))
-    rows = bat.grouped_positions(df, ["k"], "id", width=64).collect()
-    for key in ("hot", "cold"):
-        ordered = sorted((r.id, r.pos) for r in rows if r.k == key)
-        assert [p for _, p in ordered] == list(range(len(ordered)))
+ORDERS = {
+    "dense": "id",
+    "microseconds": "1700000000000000 + id * 1000003",  # no two rows in one step of any fixed width
+    "few values": "id % 3",
+    "one value": "7",
+    "null or not": "IF(id % 3 = 0, NULL, id % 50)",
+    "all null": "CAST(NULL AS BIGINT)",
+}
+
+
+@pytest.fixture
+def dense_sample(monkeypatch):
+    monkeypatch.setattr(stretches, "SAMPLED", 1)
+    monkeypatch.setattr(stretches, "SAMPLE", 512)
+
+
+@pytest.mark.parametrize("kind", list(ORDERS))
+def test_positions_and_stretches_of_a_hot_key(spark, dense_sample, kind):
+    key = "CASE WHEN id % 10 = 0 THEN 'cold' || id % 70 WHEN id % 10 < 5 THEN NULL ELSE 'hot' END AS k"
+    df = spark.range(6000).selectExpr("id", key, f"{ORDERS[kind]} AS o", "map('a', id) AS m").repartition(5)
+    rows = bat.grouped_positions(df, ["k"], "o", ["id"], depth=100).collect()
+    assert len(rows) == 6000
+    for k in {r.k for r in rows}:
+        mine = sorted((r for r in rows if r.k == k), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(len(mine)))
+        orders = [(r.o is None, r.o) for r in mine]
+        assert orders == sorted(orders, key=lambda o: (o[0], o[1] or 0))
+    sizes = stretches.cut_stretches(df, ["k"], "o", ["id"], depth=100).groupBy("k", "_stretch").count().collect()
+    for k in (None, "hot"):
+        mine = [r["count"] for r in sizes if r.k == k]
+        assert len(mine) >= 8 and max(mine) < 2.5 * sum(mine) / len(mine), mine  # many tasks of about one size
+    assert all(r["_stretch"] is None for r in sizes if r.k not in (None, "hot"))
+
+
+def test_bounds_are_found_in_two_steps(spark):
+    for n in (1, 2, 31, 32, 33, 64, 100, 1023):
+        bounds = sorted((i * 7919) % 50 if n > 60 else i for i in range(n))
+        df = spark.range(-1, 110).select("id", F.array(*map(F.lit, bounds)).alias("b"))
+        for r in df.select("id", stretches._find(F.col("b"), F.col("id")).alias("f")).collect():
+            assert (r.f.below, r.f.same) == (sum(b < r.id for b in bounds), bounds.count(r.id))
 
 
 @pytest.mark.parametrize("n", [1, 10, 1500])
@@ -102,7 +150,7 @@ def test_last_rows(spark, n):
 def test_positions_of_null_keys_and_null_orders(spark):
     rows = [("a", 5), ("a", None), ("a", 2), (None, 7), (None, 1), (None, None)]
     df = spark.createDataFrame(rows, "k string, o bigint")
-    got = {(r.k, r.o): r.pos for r in bat.grouped_positions(df, ["k"], "o", width=2).collect()}
+    got = {(r.k, r.o): r.pos for r in bat.grouped_positions(df, ["k"], "o", depth=1).collect()}
     assert got == {("a", 2): 0, ("a", 5): 1, ("a", None): 2, (None, 1): 0, (None, 7): 1, (None, None): 2}
 
 

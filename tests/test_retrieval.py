@@ -65,6 +65,22 @@ def test_top_candidates(case):
     assert {r.pos for r in ret.top_candidates(scored, 3).collect()} == hit
 
 
+def test_best_candidates_equal_all_scores(spark, case):
+    scored, want = case
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(23, DIMS))
+    x[5] = x[3]
+    df = spark.createDataFrame([(i, i // 8, x[i].tolist()) for i in range(23)], "pos bigint, b bigint, q array<double>")
+    best = ret.best_candidates(df.withColumn("c", F.col("q")), noise.schedule(spark), "b", "pos", "q", "c", DIMS, ROUNDS, SEED, k=3)
+    rows = {r.pos: r for r in best.collect()}
+    for pos, w in want.items():
+        order = np.argsort(np.round(w, 9), kind="stable")[:3].tolist()
+        assert [f.place for f in rows[pos].found] == order and rows[pos].best == order[0]
+        assert np.allclose([f.score for f in rows[pos].found], w[order], rtol=1e-9) and rows[pos].hit == int(order[0] == pos % 8)
+    ranked = ret.ranked_candidates(best).collect()
+    assert {r.pos for r in ranked} == {p for p in rows if rows[p].hit} and all(len([r for r in ranked if r.pos == p]) == 3 for p in rows if rows[p].hit)
+
+
 def test_single_candidate_batch_always_hits(spark):
     df = spark.createDataFrame([(0, 0, [1.0] * DIMS)], "pos bigint, b bigint, q array<double>")
     df = df.withColumn("c", F.col("q"))

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as vf
+from pairloom.operators import blocks, stretches
 from pairloom.operators import vectors as vec
 from pairloom.operators.blocks import batch_products
 
@@ -75,8 +76,9 @@ def test_alpha_ramp_and_temperature():
     assert (vec.clamp_temp(0.01), vec.clamp_temp(0.2), vec.clamp_temp(3)) == (0.07, 0.2, 0.5)
 
 
-@pytest.mark.parametrize("steps,ramp", [(2, None), (20, 15), (0, None)])
-def test_contrastive_loss(spark, rng, steps, ramp):
+@pytest.mark.parametrize("steps,ramp,chunk", [(2, None, 32), (20, 15, 8), (0, None, 32), (11, None, 1), (7, None, 3), (60, None, 16)])
+def test_contrastive_loss(spark, rng, steps, ramp, chunk, monkeypatch):
+    monkeypatch.setattr(vec, "CHUNK_BATCHES", chunk)
     batches, size, per_step = 40, 4, 3
     v1, v2 = unit(rng, batches * size, 5), unit(rng, batches * size, 5)
     b = np.repeat(np.arange(batches), size)
@@ -115,11 +117,13 @@ def test_memory_bank(spark):
 
 
 @pytest.mark.parametrize("decay", [0.995, 0.5, 0.0, 1.0])
-def test_ema_over_many_stretches(spark, rng, decay):
+def test_ema_over_many_stretches(spark, rng, decay, monkeypatch):
+    monkeypatch.setattr(stretches, "SAMPLED", 1)
     x = rng.normal(size=700)
     keys = ["hot" if i % 7 else "cold" for i in range(700)]
     df = frame(spark, k=keys, o=list(range(700)), x=x)
-    got = {r.k: r.ema for r in vec.ema(df, ["k"], "o", "x", decay, width=50).collect()}
+    got = {r.k: r.ema for r in vec.ema(df, ["k"], "o", "x", decay, depth=50).collect()}
+    assert got == pytest.approx({r.k: r.ema for r in vec.ema(df, ["k"], "o", "x", decay).collect()})  # in one piece
     for key in ("hot", "cold"):
         series = [v for v, k in zip(x, keys) if k == key]
         m = series[0]
@@ -175,3 +179,59 @@ def test_frechet_of_an_empty_side_is_null(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([2.0, 1.0],), ([0.0, 1.0],)], "x array<double>")
     rows = vec.frechet_distance(df, df.limit(0), "x").collect()
     assert [r.frechet for r in rows] == [None]
+
+
+def best_of(left, right, k, largest):
+    order = np.argsort(np.round(-left @ right.T if largest else left @ right.T, 9), axis=1, kind="stable")
+    return order[:, :k].tolist()
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_fused_selection_equals_products(spark, rng, monkeypatch, largest):
+    monkeypatch.setattr(blocks, "CANDIDATES", 300)
+    monkeypatch.setattr(blocks, "QUERIES", 37)
+    x, y = rng.normal(size=(700, 5)), rng.normal(size=(700, 5))
+    y[300:400] = y[:100]  # ties across chunks
+    rows = [(i, i % 3 // 2, x[i].tolist(), None if i in (6, 9) else y[i].tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "o int, b int, x array<double>, y array<double>")
+    got = vec.nearest(df, ["b"], "o", "x", "y", 4, largest).collect()
+    assert len(got) == 700
+    for b in (0, 1):
+        here = [i for i in range(700) if i % 3 // 2 == b]
+        there = [p for p, i in enumerate(here) if i not in (6, 9)]
+        want = best_of(x[here], y[[here[p] for p in there]], 4, largest)
+        for r in (r for r in got if r.b == b):
+            assert here[r.member] == r.o
+            assert [f.place for f in r.best] == [there[p] for p in want[r.member]]
+            assert np.allclose([f.score for f in r.best], [x[r.o] @ y[here[f.place]] for f in r.best])
+    small = vec.nearest(df.filter("o < 2"), ["b"], "o", "x", "y", 4).collect()
+    assert all(len(r.best) == 2 for r in small)
+
+
+def test_a_large_batch_needs_no_square(rng):
+    import tracemalloc
+
+    x = rng.normal(size=(100_000, 8))
+    tracemalloc.start()
+    for lo in range(0, 1024, blocks.QUERIES):  # what a task does, query block by query block
+        blocks.best_products(x[lo : lo + blocks.QUERIES], x, 3, -1.0, 9, np.zeros(blocks.QUERIES))
+    assert tracemalloc.get_traced_memory()[1] < 300e6  # the square has 80 GB
+    tracemalloc.stop()
+
+
+def test_bank_of_the_original_size_is_split(spark, rng):
+    """16,384 rows of bank: no pair of chunks holds more than CHUNK_BATCHES batches of it, and the loss is right."""
+    batches, size, steps = 300, 8, 256
+    v1, v2 = unit(rng, batches * size, 16), unit(rng, batches * size, 16)
+    b, m = np.repeat(np.arange(batches), size), np.tile(np.arange(size), batches)
+    got = vec.contrastive_loss(frame(spark, b=b, m=m, x=v1, y=v2), "b", "m", "x", "y", steps * size, 0.1, 0.4, size)
+    r = got.filter("batch_no = 290").first()
+    own, pool = b == 290, (b <= 290) & (b >= 290 - steps)
+    want = 0
+    for query, views in ((v2[own], v1), (v1[own], v2)):
+        logits = query @ np.concatenate((views[own], views[pool & ~own])).T / 0.1
+        logp = logits - np.log(np.exp(logits).sum(1, keepdims=True))
+        target = 0.4 * np.exp(logp)
+        target[np.arange(size), np.arange(size)] += 0.6
+        want -= (logp * target).sum(1).mean()
+    assert abs(r.loss - want) < 1e-9 and r.candidates == pool.sum()
