@@ -11,13 +11,14 @@ so a name that all documents hold costs one entry per shard and no task sees its
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import written
@@ -72,11 +73,42 @@ def _pack(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordB
             first = last
 
 
+def _joined(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
+    """Batches of short texts put together up to about ``target`` bytes, so that shards are full."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= target:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+PACKED_ROWS = 1_000  # whole texts that travel to Python at a time; 10,000 of them fill hundreds of MB on their way
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside; a smaller setting of the session stays."""
+    before = spark.conf.get(ARROW_ROWS)
+    if int(before) <= 0 or int(before) > PACKED_ROWS:
+        spark.conf.set(ARROW_ROWS, PACKED_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = SHARD_BYTES) -> DataFrame:
     """Documents as a written table of shards. A text longer than ``target`` has a shard of its own."""
     pairs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    packed = pairs.mapInArrow(lambda batches: _pack(batches, target), SHARD_SCHEMA)
-    return written(packed, "shards", "uncompressed")
+    with small_batches(docs.sparkSession):
+        packed = pairs.mapInArrow(lambda batches: _pack(_joined(batches, 8 * target), target), SHARD_SCHEMA)
+        return written(packed, "shards", "uncompressed")
 
 
 class Shard:
