@@ -313,32 +313,44 @@ def _moment_rows(parts: dict[str, tuple], lot: int) -> pa.RecordBatch:
 
 _MOMENTS = "grp string, lot bigint, n bigint, mean array<double>, spread array<double>"
 LOTS = 256
+HELD = 64 << 20  # bytes of matrices that a task holds
 
 
 def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Moments of one task, per group, centred on the mean of each batch and merged."""
+    """Moments of one task, per group, centred on the mean of each batch and merged.
+
+    Where there are so many groups that their matrices would not fit, those at hand are sent on and later rows of a group start anew.
+    """
+    lot = TaskContext.get().partitionId() % LOTS
     parts: dict[str, tuple] = {}
     for batch in batches:
         if batch.num_rows == 0:
             continue
         x = matrix(batch.column("vec"), batch.num_rows)
+        most = max(1, HELD // (8 * max(1, x.shape[1]) ** 2))
         coded = batch.column("grp").dictionary_encode()
         codes = coded.indices.to_numpy()
-        for code, g in enumerate(coded.dictionary.to_pylist()):
-            rows = x[codes == code]
-            mean = rows.mean(axis=0)
-            new = (len(rows), mean, (rows - mean).T @ (rows - mean))
+        order = np.argsort(codes, kind="stable")
+        edges = np.flatnonzero(np.diff(codes[order])) + 1
+        for rows in np.split(order, edges):
+            g, some = coded.dictionary[codes[rows[0]]].as_py(), x[rows]
+            if g not in parts and len(parts) >= most:
+                yield _moment_rows(parts, lot)
+                parts = {}
+            mean = some.mean(axis=0)
+            new = (len(some), mean, (some - mean).T @ (some - mean))
             parts[g] = _merged(parts[g], new) if g in parts else new
     if parts:
-        yield _moment_rows(parts, TaskContext.get().partitionId() % LOTS)
+        yield _moment_rows(parts, lot)
 
 
 def _merge_moments(table: pa.Table) -> pa.Table:
     merged = None
-    for row in table.select(["n", "mean", "spread"]).to_pylist():
-        d = len(row["mean"])
-        new = (row["n"], np.array(row["mean"]), np.array(row["spread"]).reshape(d, d))
-        merged = new if merged is None else _merged(merged, new)
+    for batch in table.select(["n", "mean", "spread"]).to_batches(max_chunksize=64):
+        for row in batch.to_pylist():
+            d = len(row["mean"])
+            new = (row["n"], np.array(row["mean"]), np.array(row["spread"]).reshape(d, d))
+            merged = new if merged is None else _merged(merged, new)
     return pa.Table.from_batches([_moment_rows({table["grp"][0].as_py(): merged}, table["lot"][0].as_py())])
 
 
@@ -347,7 +359,8 @@ def vector_moments(df: DataFrame, vec: str, group: Column | None = None) -> Data
 
     Null vectors, and vectors with a null entry, are left out. A task sends one matrix per group it saw, the
     matrices are merged in lots and then once more, and only the result becomes rows. Sums are centred
-    before they meet, so a large common offset costs no digits. ``group`` should have few values.
+    before they meet, so a large common offset costs no digits. A task holds matrices of HELD bytes at most, whatever the
+    number of groups.
     """
     rows = df.select(
         F.coalesce((F.lit("all") if group is None else group).cast("string"), F.lit("")).alias("grp"),

@@ -80,7 +80,9 @@ def stream_window(spark, sf):
 
 @query("stream_dedup_keys", "SELECT DISTINCT user_id FROM events")
 def stream_dedup_keys(spark, sf):
-    return streams.run_available(spark, streams.stream_keep_first(_stream(spark, sf), ["user_id"]), "keys")
+    """State for two days of keys; a user who comes back later is given again, so the output is made distinct at last."""
+    keys = streams.stream_keep_first(_stream(spark, sf), ["user_id"], "ts", "2 days")
+    return streams.run_available(spark, keys, "keys").distinct()
 
 
 @query(
@@ -90,9 +92,8 @@ def stream_dedup_keys(spark, sf):
     f"SELECT event_type AS key, n AS n_seen, 10 - rn AS place, {sql.r6('value')} AS loss FROM r WHERE rn <= 10",
 )
 def stream_loss_history(spark, sf):
-    snapshots = streams.run_available(
-        spark, streams.stream_loss_history(_stream(spark, sf), "event_type", "event_id", "value"), "history"
-    )
+    history = streams.stream_loss_history(_stream(spark, sf), "event_type", "event_id", "value")
+    snapshots = streams.run_latest(spark, history, ["key", "salt"], "history")
     latest = streams.latest_history(snapshots)
     rows = unnest(latest, ["key", "n_seen"], "losses", "loss", "place")
     return rows.withColumn("loss", F.round("loss", 6))

@@ -169,6 +169,7 @@ def forward_noise(spark, sf):
 
 _CLIP = "least(greatest(rab * x_t - rm1 * eps_hat, -1), 1)"
 _LOGVAR = "((v + 1) / 2 * ln(beta) + (1 - (v + 1) / 2) * plv)"
+_VARIANCES = {"learned_range": _LOGVAR, "fixed_large": "ln(flv)", "fixed_small": "plv"}
 
 
 @query(
@@ -188,22 +189,24 @@ def reconstruct_x0(spark, sf):
 _CDF = "0.5 * (1 + tanh(sqrt(2 / pi()) * ({0} + 0.044715 * pow({0}, 3))))"
 
 
-def _terms(clip: bool) -> str:
-    """CTE ``terms``: loss terms per vector and step."""
-    x0 = _CLIP if clip else "rab * x_t - rm1 * eps_hat"
+def _terms(clip: bool, predicts: str = "eps", variance: str = "learned_range", name: str = "terms") -> str:
+    """CTE ``name``: loss terms per vector and step."""
+    x0 = "eps_hat" if predicts == "x0" else "rab * x_t - rm1 * eps_hat"
+    x0 = f"least(greatest({x0}, -1), 1)" if clip else x0
+    target = {"eps": "eps", "x0": "x", "prev_mean": "tm"}[predicts]
     kl = "0.5 * (-1 + lv - plv + exp(plv - lv) + pow(tm - m, 2) * exp(-lv))"
     nll = (
         "-CASE WHEN x < -0.999 THEN ln(greatest(above, 1e-12)) WHEN x > 0.999 THEN ln(greatest(1 - below, 1e-12)) "
         "ELSE ln(greatest(above - below, 1e-12)) END"
     )
     return (
-        f"t0 AS (SELECT *, {x0} AS x0, {_LOGVAR} AS lv FROM preds), "
-        "t1 AS (SELECT *, c1 * x + c2 * x_t AS tm, c1 * x0 + c2 * x_t AS m, exp(-0.5 * lv) AS inv FROM t0), "
-        "t2 AS (SELECT *, inv * (x - m + 1.0 / 255.0) AS hi, inv * (x - m - 1.0 / 255.0) AS lo FROM t1), "
-        f"t3 AS (SELECT *, {_CDF.format('hi')} AS above, {_CDF.format('lo')} AS below FROM t2), "
-        "terms AS (SELECT vec_id, t, avg(pow(eps - eps_hat, 2)) AS mse, avg(pow(x0 - x, 2)) AS x0_mse, "
+        f"{name}0 AS (SELECT *, {x0} AS x0, {_VARIANCES[variance]} AS lv FROM preds), "
+        f"{name}1 AS (SELECT *, c1 * x + c2 * x_t AS tm, c1 * x0 + c2 * x_t AS m, exp(-0.5 * lv) AS inv FROM {name}0), "
+        f"{name}2 AS (SELECT *, inv * (x - m + 1.0 / 255.0) AS hi, inv * (x - m - 1.0 / 255.0) AS lo FROM {name}1), "
+        f"{name}3 AS (SELECT *, {_CDF.format('hi')} AS above, {_CDF.format('lo')} AS below FROM {name}2), "
+        f"{name} AS (SELECT vec_id, t, avg(pow({target} - eps_hat, 2)) AS mse, avg(pow(x0 - x, 2)) AS x0_mse, "
         "avg(pow((rab * x_t - x0) / rm1 - eps, 2)) AS eps_mse, "
-        f"avg(CASE WHEN t = 0 THEN {nll} ELSE {kl} END) / ln(2) AS vb FROM t3 GROUP BY vec_id, t)"
+        f"avg(CASE WHEN t = 0 THEN {nll} ELSE {kl} END) / ln(2) AS vb FROM {name}3 GROUP BY vec_id, t)"
     )
 
 
@@ -235,5 +238,52 @@ _LAST = "(SELECT ab FROM sched ORDER BY t DESC LIMIT 1)"
 def bits_per_dim(spark, sf):
     coefs = fx.respaced(spark)
     terms = losses.loss_terms(fx.predictions(spark, sf, coefs), coefs, ["vec_id"], clip=True)
-    out = losses.bits_per_dim(terms, fx.vectors(spark, sf), coefs, ["vec_id"])
+    out = losses.bits_per_dim(terms, coefs, ["vec_id"])
     return out.select("vec_id", "n_steps", *[_r(c) for c in ("vb", "prior_bpd", "total_bpd")])
+
+
+_BY_KIND = {"mse": "mse", "mse_vb": "mse + vb", "rescaled_mse": "mse + vb * 10 / 1000.0", "kl": "vb", "rescaled_kl": "vb * 10"}
+
+
+@query(
+    "loss_kinds",
+    f"WITH {fx.PREDICTIONS_CTE}, {_terms(True)} SELECT t, "
+    + ", ".join(f"{sql.r6(f'avg({loss})')} AS {kind}" for kind, loss in _BY_KIND.items())
+    + " FROM terms GROUP BY t",
+)
+def loss_kinds(spark, sf):
+    """Each kind of loss by step, with clipped reconstructions."""
+    coefs = fx.respaced(spark)
+    terms = losses.loss_terms(fx.predictions(spark, sf, coefs), coefs, ["vec_id"], clip=True)
+    kinds = [F.avg(losses.loss_of(kind, 10)).alias(kind) for kind in losses.LOSS_KINDS]
+    return terms.groupBy("t").agg(*kinds).select("t", *[_r(kind) for kind in losses.LOSS_KINDS])
+
+
+# What the output stands for, with each kind of variance.
+_TARGETS = [("eps", "fixed_large"), ("x0", "learned_range"), ("x0", "fixed_small"), ("prev_mean", "fixed_large"), ("prev_mean", "fixed_small")]
+
+
+@query(
+    "loss_targets",
+    f"WITH {fx.PREDICTIONS_CTE}, "
+    + ", ".join(_terms(False, target, variance, f"terms{i}_") for i, (target, variance) in enumerate(_TARGETS))
+    + " "
+    + " UNION ALL ".join(
+        f"SELECT '{target}' AS target, '{variance}' AS variance, t, {sql.r6('avg(mse)')} AS mse, {sql.r6('avg(x0_mse)')} AS x0_mse, "
+        f"{sql.r6('avg(eps_mse)')} AS eps_mse, {sql.r6('avg(vb)')} AS vb FROM terms{i}_ GROUP BY t"
+        for i, (target, variance) in enumerate(_TARGETS)
+    ),
+)
+def loss_targets(spark, sf):
+    """The other targets and the fixed variances, without clipping."""
+    coefs = fx.respaced(spark)
+    logged = fx.predictions(spark, sf, coefs)
+    frames = []
+    for target, variance in _TARGETS:
+        terms = losses.loss_terms(logged, coefs, ["vec_id"], target, variance)
+        report = losses.loss_report(terms, "mse", steps=10)
+        frames.append(report.select(F.lit(target).alias("target"), F.lit(variance).alias("variance"), "t", *map(_r, ("mse", "x0_mse", "eps_mse", "vb"))))
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out

@@ -59,7 +59,7 @@ def test_stream_window_drops_late_rows(spark, source):
 
 def test_stream_keep_first(spark, source):
     stream, rows = source
-    keys = streams.run_available(spark, streams.stream_keep_first(stream, ["k"]), "k")
+    keys = streams.run_available(spark, streams.stream_keep_first(stream, ["k"], "ts", "30 days"), "k")
     assert sorted(r.k for r in keys.collect()) == ["a", "b", "late"]
 
 
@@ -73,13 +73,69 @@ def test_stream_keep_first_with_watermark(spark, source):
 def test_stream_history_equals_batch(spark, source):
     stream, rows = source
     history = streams.stream_loss_history(stream, "k", "event_id", "v", n=10, salts=4)
-    latest = streams.latest_history(streams.run_available(spark, history, "h"), 10)
+    latest = streams.latest_history(streams.run_latest(spark, history, ["key", "salt"], "h"), 10)
     got = {r.key: (r.n_seen, r.losses) for r in latest.collect()}
     for key in {r[2] for r in rows}:
         mine = sorted((r[0], r[3]) for r in rows if r[2] == key)
         assert got[key] == (len(mine), [v for _, v in mine[-10:]])
 
 
+def many_batches(spark, path, count, rows):
+    """One file per batch, an hour each; ``rows(b)`` gives (key, value) pairs."""
+    for b in range(count):
+        data = [(1000 * b + i, START + timedelta(hours=b), k, v) for i, (k, v) in enumerate(rows(b))]
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_state_of_first_keys_stays_level(spark, tmp_path, one_partition):
+    """Twenty new keys a batch over 50 batches: state holds those whose five hours the watermark has not passed, on disk."""
+    stream = many_batches(spark, str(tmp_path / "in"), 50, lambda b: [(f"{b}-{i}", 1.0) for i in range(20)] * 2)
+    keys = streams.stream_keep_first(stream, ["k"], "ts", "5 hours", salts=2)
+    held = []
+    with streams._state_on_disk(spark):
+        query = (
+            keys.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+            .option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    for progress in query.recentProgress:
+        held.append([op["numRowsTotal"] for op in progress["stateOperators"]])
+        assert "rocksdb" in str(progress["stateOperators"][0]["customMetrics"]).lower()
+    assert len(held) >= 50 and max(map(max, held)) <= 20 * 12 and held[15] == held[25] == held[45]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_history_table_grows_with_keys_only(spark, tmp_path, one_partition):
+    """Every batch changes one of three keys; the table always has one row per key and salt, and two versions at most."""
+    source, root = str(tmp_path / "in"), str(tmp_path / "table")
+
+    def history(stream):
+        return streams.stream_loss_history(stream, "k", "event_id", "v", n=4, salts=2)
+
+    first = many_batches(spark, source, 12, lambda b: [("abc"[b % 3], float(b)), ("abc"[b % 3], b + 0.5)])
+    rows = streams.run_latest(spark, history(first), ["key", "salt"], "h", root)
+    assert rows.count() == rows.select("key", "salt").distinct().count() <= 6
+    assert len(list((tmp_path / "table").glob("table-*"))) <= 2
+    latest = {r.key: (r.n_seen, r.losses) for r in streams.latest_history(rows, 4).collect()}
+    assert latest == {k: (8, [b + x for b in (6 + i, 9 + i) for x in (0.0, 0.5)]) for i, k in enumerate("abc")}
+    # A later run goes on from the table and the state.
+    more = many_batches(spark, source, 1, lambda b: [("a", 99.0)])
+    spark.createDataFrame([(90_000, START, "a", 99.0)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    again = streams.run_latest(spark, history(more), ["key", "salt"], "h", root)
+    got = {r.key: (r.n_seen, r.losses[-1]) for r in streams.latest_history(again, 4).collect()}
+    assert got["a"] == (10, 99.0) and got["b"] == (8, 10.5) and got["c"] == (8, 11.5)
+    assert again.count() <= 6
+
+
 def test_scratch_is_below_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")

@@ -235,3 +235,29 @@ def test_bank_of_the_original_size_is_split(spark, rng):
         target[np.arange(size), np.arange(size)] += 0.6
         want -= (logp * target).sum(1).mean()
     assert abs(r.loss - want) < 1e-9 and r.candidates == pool.sum()
+
+
+def test_moments_of_many_groups_in_little_memory(spark, rng, monkeypatch):
+    x, groups = rng.normal(size=(900, 3)), [f"g{(i * 37) % 150}" for i in range(900)]
+    df = frame(spark, v=x, g=groups).coalesce(2)
+    whole = {(r.grp, r.i, r.j): (r.n, r.mean_i, r.cov) for r in vec.vector_moments(df, "v", F.col("g")).collect()}
+    monkeypatch.setattr(vec, "HELD", 8 * 9 * 20)  # twenty groups at a time
+    split = {(r.grp, r.i, r.j): (r.n, r.mean_i, r.cov) for r in vec.vector_moments(df, "v", F.col("g")).collect()}
+    assert len(split) == 150 * 9 and set(split) == set(whole)
+    assert all(split[k] == pytest.approx(whole[k]) for k in whole)
+    mine = x[[i for i in range(900) if groups[i] == "g5"]]
+    assert np.allclose([split["g5", i, j][2] for i in range(3) for j in range(3)], np.cov(mine.T).ravel())
+
+
+def test_a_task_sends_matrices_on_in_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vec, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})())}))
+    d, n = 8, 100_000
+    x = np.random.default_rng(1).normal(size=(n, d))
+    monkeypatch.setattr(vec, "HELD", 8 * d * d * 1000)
+    batches = (
+        pa.record_batch({"grp": [str(i) for i in range(lo, lo + 10_000)], "vec": x[lo : lo + 10_000].tolist()}) for lo in range(0, n, 10_000)
+    )
+    sizes = [b.num_rows for b in vec._partial_moments(batches)]
+    assert sum(sizes) == n and max(sizes) <= 1000  # 100,000 groups, a thousand matrices held
