@@ -95,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
     names = tuple(statistics())
     wanted = F.broadcast(training_labels(labels, column, rows))  # at most ``rows`` ids
     sample = with_statistics(docs.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    table = sample.join(wanted, "id").select("y", *names).limit(4 * rows).toArrow()
+    # Of several rows of one id the smallest statistics count, so there are at most ``rows``, the same in every run.
+    per_id = sample.groupBy("id").agg(F.min(F.struct(*names)).alias("s")).select("id", "s.*")
+    table = per_id.join(wanted, "id").orderBy("id").select("y", *names).toArrow()
     if not table.num_rows:
         return Rules(names, (), 0.0)
     x = np.column_stack([table[n].to_numpy() for n in names])

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pairloom.llm.fitting import held_out, logistic, sigmoid, training_labels
 
 TRAIN_ROWS = 20_000  # labelled rows that the fit may see
-LEXICON = 2_000  # entries at most
 THRESHOLD = 0.5
 SHORTEST, LONGEST = 4, 8  # lengths of word starts
 SUPPORT = 8  # distinct toxic texts that hold an entry
@@ -103,11 +102,13 @@ class Lexicon:
                 excused.append((start, end + 1))
             elif start not in best or weight > best[start][1]:
                 best[start] = (end + 1, weight)
-        hits = [
-            (start, end, weight)
-            for start, (end, weight) in sorted(best.items())
-            if not any(a <= start and start + 2 <= b for a, b in excused)
-        ]
+        hits, reach = [], -1
+        excused.sort(reverse=True)
+        for start, (end, weight) in sorted(best.items()):
+            while excused and excused[-1][0] <= start:
+                reach = max(reach, excused.pop()[1])
+            if reach < start + 2:  # no phrase holds the beginning of the entry
+                hits.append((start, end, weight))
         total = sum(w for *_, w in hits)
         words = max(1, folded.count(" ") - 1)
         return float(np.sqrt(max(total, 0))), total / words, hits
@@ -152,21 +153,21 @@ def _choose(rows: list, n_toxic: int, n_other: int) -> list[tuple[str, float]]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
     """Learn entries, weights and the logistic from at most ``rows`` labelled rows.
 
-    Entries are counted by Spark over the distinct texts of the sample; what reaches the driver is at most
-    ``LEXICON`` entries and three numbers for each row. Without usable labels the lexicon is empty and
-    the score a half; without toxic ones it is near 0.
+    Entries are counted by Spark over the distinct texts of the sample; what reaches the driver are the entries with enough
+    toxic texts, all of them, and three numbers for each row. Of several rows of one id the smallest text counts. Without
+    usable labels the lexicon is empty and the score a half; without toxic ones it is near 0.
     """
     wanted = F.broadcast(training_labels(labels, column, rows))  # at most ``rows`` ids
-    joined = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    joined = texts.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     sample = joined.groupBy(F.sha2("text", 256).alias("h")).agg(F.max("y").alias("y"), F.first("text").alias("text"))
     counts = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_other = counts.get(1.0, 0), counts.get(0.0, 0)
     precise = (F.col("toxic") / (n_toxic + 1)) > 20 * (F.col("other") + 0.1) / (n_other + 1)
     support = max(2, min(SUPPORT, n_toxic // 20))
     found = _counts(sample.select("text", "y")).filter((F.col("toxic") >= support) & precise)
-    best = found.orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()
-    lexicon = Lexicon(tuple(_choose(best, n_toxic, n_other)))
-    table = _with_hits(sample.select(F.lit(0).cast("long").alias("id"), "text", "y"), lexicon, ["id", "y"]).limit(4 * rows).toArrow()
+    lexicon = Lexicon(tuple(_choose(found.collect(), n_toxic, n_other)))
+    table = _with_hits(sample.select(F.lit(0).cast("long").alias("id"), "text", "y"), lexicon, ["id", "y"]).toArrow()
     if not table.num_rows:
         return lexicon
     x = np.column_stack([table["hits"].to_numpy(), table["rate"].to_numpy()])
