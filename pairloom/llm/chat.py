@@ -83,24 +83,36 @@ def _levels(calls: DataFrame) -> DataFrame:
         settled, edges = settled.union(done), after
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema], others: DataFrame | None = None) -> DataFrame:
     """Link ``calls`` (conv_id, turn, call_id, name, arguments) with ``results`` (conv_id, turn, call_id, content).
 
     Returns one row per different call (conversation and identifier): ``conv_id``, ``call_id``, ``name``, ``turn``,
     ``result_turn``, ``copies`` (calls of that identifier), ``answers`` (results of it), ``level`` (topological; null on a
     cycle), ``errors``, ``valid``, ``status`` (linked, pending without a result, early if the result stands before the
-    call) and ``record`` (canonical JSON). Of several calls or results of one identifier the first counts, by turn,
-    then by content. Results without a call are rows with status orphan. A null conversation is a conversation
-    of its own; a null identifier is the identifier ''. References to calls that do not exist are errors.
+    call) and ``record`` (canonical JSON). Of several calls or results of one identifier the first is linked, by turn,
+    then by content. Results without a call are rows with status orphan.
+
+    Every other call and result has its own row too, with status repeated and its content in ``record``; rows that agree in
+    everything share one, and ``copies`` or ``answers`` says how many they are. They are rows and no list, since one
+    identifier may have any number of them. ``others`` (conv_id, turn, name, content) are turns that are neither: rows with
+    status context and null identifier. So each input row is in exactly one output row.
+
+    A null conversation is a conversation of its own; a null identifier is the identifier ''. References to calls that do
+    not exist are errors.
     """
     conv = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id"), F.lit(0)).alias("id"))
     key = ["conv", "call_id"]
     name_of = F.coalesce("call_id", F.lit("")).alias("call_id")
-    # Minima are partial aggregates: a conversation with very many turns is no hot spot.
+
+    def distinct(rows: DataFrame, *fields: str) -> DataFrame:
+        """Equal rows as one, with their number in ``n``. A partial aggregate, as are the minima: no row is a hot spot."""
+        return rows.select(conv.alias("conv"), name_of, F.struct(*fields).alias("row")).groupBy(*key, "row").agg(F.count("*").alias("n"))
+
+    called = written(distinct(calls, "turn", "name", "arguments"), "called")
+    answered = written(distinct(results, "turn", "content"), "answered")
     first = (
-        calls.select(conv.alias("conv"), name_of, F.struct("turn", "name", "arguments").alias("c"))
-        .groupBy(*key)
-        .agg(F.min("c").alias("c"), F.count("*").alias("copies"))
+        called.groupBy(*key)
+        .agg(F.min("row").alias("c"), F.sum("n").alias("copies"))
         .select(*key, "copies", "c.*")
         .withColumn("args", F.try_parse_json("arguments"))
         .withColumn("keys", F.expr("coalesce(json_object_keys(arguments), cast(array() AS array<string>))"))
@@ -111,9 +123,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
     )
     first = written(first, "calls")
     answers = (
-        results.select(conv.alias("conv"), name_of, F.struct("turn", "content").alias("r"))
-        .groupBy(*key)
-        .agg(F.min("r").alias("r"), F.count("*").alias("answers"))
+        answered.groupBy(*key)
+        .agg(F.min("row").alias("r"), F.sum("n").alias("answers"))
         .select(*key, "answers", F.col("r.turn").alias("result_turn"), "r.content")
     )
     named = first.select("conv", F.col("call_id").alias("n")).withColumnRenamed("n", "needs")
@@ -130,28 +141,61 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> Da
         .join(dangling, key, "left")
         .withColumn("errors", F.concat(F.coalesce("errors", F.array().cast("array<string>")), F.coalesce("dangling", F.array().cast("array<string>"))))
     )
-    called = F.col("called").isNotNull()
+    has_call = F.col("called").isNotNull()
     status = (
-        F.when(~called, "orphan")
+        F.when(~has_call, "orphan")
         .when(F.col("answers").isNull(), "pending")
         .when(F.col("result_turn") < F.col("turn"), "early")
         .otherwise("linked")
     )
-    # Null fields are left out; the writer of variants sorts the keys.
-    record = F.to_json(
-        F.try_parse_json(
-            F.concat(
-                F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(","),
-                F.substring(F.to_json(F.struct("call_id", "name", "content", "level")), 2, 2_000_000_000),
-            )
-        )
-    )
-    return whole.select(
+    linked = whole.select(
         F.when(~F.col("conv.none"), F.col("conv.id")).alias("conv_id"),
         "call_id", "name", "turn", "result_turn",
         F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("answers", F.lit(0)).alias("answers"),
-        "level", "errors", (called & (F.size("errors") == 0) & F.col("level").isNotNull()).alias("valid"),
-        status.alias("status"), record.alias("record"),
+        "level", "errors", (has_call & (F.size("errors") == 0) & F.col("level").isNotNull()).alias("valid"),
+        status.alias("status"), _record(F.coalesce("arguments", F.lit("null")), "call_id", "name", "content", "level").alias("record"),
+    )
+    arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
+    calls_again = _beyond_first(called, key).select(*key, "n", "row.*")
+    results_again = _beyond_first(answered, key).select(*key, "n", "row.*")
+    out = linked.unionByName(
+        _plain(calls_again, "repeated", name="name", turn="turn", copies="n", record=_record(arguments, "call_id", "name"))
+    ).unionByName(_plain(results_again, "repeated", result_turn="turn", answers="n", record=_record(None, "call_id", "content")))
+    if others is None:
+        return out
+    turns = others.select(conv.alias("conv"), F.lit(None).cast("string").alias("call_id"), "turn", "name", "content")
+    return out.unionByName(_plain(turns, "context", name="name", turn="turn", record=_record(None, "name", "content")))
+
+
+def _record(arguments: Column | None, *fields: str) -> Column:
+    """Canonical JSON: null fields are left out; the writer of variants sorts the keys."""
+    whole = F.to_json(F.struct(*fields))
+    if arguments is not None:
+        more = F.substring(whole, 2, 2_000_000_000)
+        whole = F.concat(F.lit('{"arguments":'), arguments, F.when(more == "}", F.lit("")).otherwise(F.lit(",")), more)
+    return F.to_json(F.try_parse_json(whole))
+
+
+def _beyond_first(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct rows of each key without the one that is linked, of which its further copies stay.
+
+    Few identifiers have several rows; the join meets only those. One with very many is split by the engine's skew
+    handling, since its side of the join has one row.
+    """
+    first = rows.groupBy(*key).agg(F.min("row").alias("first"), F.sum("n").alias("every")).filter(F.col("every") > 1)
+    again = rows.join(first.drop("every"), key)
+    same = F.col("row").eqNullSafe(F.col("first"))
+    return again.withColumn("n", F.col("n") - F.when(same, 1).otherwise(0)).filter(F.col("n") > 0).drop("first")
+
+
+def _plain(rows: DataFrame, status: str, record: Column, **columns: str) -> DataFrame:
+    """Rows of the result that link nothing."""
+    types = {"name": "string", "turn": "long", "result_turn": "long", "copies": "long", "answers": "long"}
+    values = {c: F.col(columns[c]).cast(t) if c in columns else F.lit(0 if c in ("copies", "answers") else None).cast(t) for c, t in types.items()}
+    return rows.select(
+        F.when(~F.col("conv.none"), F.col("conv.id")).alias("conv_id"), "call_id", *[v.alias(c) for c, v in values.items()],
+        F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("errors"), F.lit(False).alias("valid"),
+        F.lit(status).alias("status"), record.alias("record"),
     )
 
 
@@ -163,9 +207,10 @@ SCHEMAS: dict[str, Schema] = {
 }
 
 
-def as_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results from plain turns: an assistant's turn is a call, the user's turn after it is its result.
+def as_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and other turns from plain turns: an assistant's turn is a call, the user's turn after it is its result.
 
+    All else is context: other roles and null ones, opening user turns, and turns without a number.
     The tool follows from the turn, the arguments from the text; every fifth text length gives a limit as a string.
     A call builds on the call at about half its turn.
     """
@@ -183,10 +228,14 @@ def as_tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when((tool == 0) & (size % 5 == 0), spoiled).when(tool == 0, search).when(tool == 1, lookup).otherwise(write)
     )
     name = F.when(tool == 0, "search").when(tool == 1, "lookup").otherwise("write")
-    calls = conversations.filter("role = 'assistant'").select(
+    is_call, is_result = "role = 'assistant' AND turn IS NOT NULL", "role = 'user' AND turn > 0"
+    calls = conversations.filter(is_call).select(
         "conv_id", "turn", F.concat(F.lit("call-"), turn.cast("string")).alias("call_id"), name.alias("name"), arguments.alias("arguments")
     )
-    results = conversations.filter("role = 'user' AND turn > 0").select(
+    results = conversations.filter(is_result).select(
         "conv_id", "turn", F.concat(F.lit("call-"), (turn - 1).cast("string")).alias("call_id"), F.col("text").alias("content")
     )
-    return calls, results
+    others = conversations.filter(f"NOT coalesce(({is_call}) OR ({is_result}), false)").select(
+        "conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("content")
+    )
+    return calls, results, others

@@ -177,8 +177,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_tool_calls")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.as_tool_calls(table(spark, sf_dir, "conversations"))
-    return chat.link(calls, results, chat.SCHEMAS)
+    calls, results, others = chat.as_tool_calls(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.SCHEMAS, others)
 
 
 @query("op8_attention_scores")
