@@ -43,13 +43,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op3_repeated_strings")
+@query(
+    "op3_repeated_strings",
+    """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+starts AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {L2})) AS string FROM (SELECT doc_id, h, unnest(range(0, n - {L1})) AS i FROM d WHERE n >= {L})),
+twice AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY string) > 1),
+runs AS (
+  SELECT doc_id, min(i) AS s, max(i) + {L} AS e FROM (
+    SELECT doc_id, i, sum(CASE WHEN i <= before + {L} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice))
+  GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM runs
+  UNION ALL SELECT doc_id, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+cuts AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (doc_id) LEFT JOIN kept USING (doc_id)
+""".format(L=repeats.LENGTH, L1=repeats.LENGTH - 1, L2=2 * repeats.LENGTH),
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
     return found.withColumnRenamed("id", "doc_id").drop("spans", "kept")
 
 
-@query("op4_jaccard_join")
+@query(
+    "op4_jaccard_join",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i : i + 4], ' '))) END)) AS s FROM d),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+grams AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM classes),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.id, a.n, b.id, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT id, id FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least AS (SELECT b AS id, min(a) AS component FROM reach GROUP BY b)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON least.id = classes.id
+""",
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "n AS n_shingles", "component AS component_id")
