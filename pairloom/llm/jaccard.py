@@ -401,7 +401,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     edges = _crowd_links(shards, people, k, percent).union(_verify(shards, _hub_pairs(entries, percent), k, percent))
     edges = written(edges, "links")
     placed = _placed(members, edges, "placed")
-    more = _verify(shards, _pairs(entries, placed, percent), k, percent)
+    # Written, so that no task runs two Python workers, one on top of the other.
+    more = written(_verify(shards, _pairs(entries, placed, percent), k, percent), "more")
     found = components(edges.union(more))
 
     roots = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
