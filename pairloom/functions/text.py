@@ -38,13 +38,9 @@ END = "<stop>"
 
 _L = "[A-Za-z]"
 
-# The rules of sentence splitting as (pattern, replacement), in order; groups are written $1. Runs of dots are protected between the
-# first and the second list.
-DOT_RULES_BEFORE_RUNS = [
-    (rf"({TITLES})\.", f"$1{DOT}"),
-    (rf"\.({SITE_ENDINGS})", f"{DOT}$1"),
-    (r"([0-9])\.([0-9])", f"$1{DOT}$2"),
-]
+# The rules of sentence splitting as (pattern, replacement), in order; groups are written $1. Runs of dots are protected
+# behind the first one.
+DECIMAL = (r"([0-9])\.([0-9])", f"$1{DOT}$2")
 DOCTORATE = ("Ph.D.", f"Ph{DOT}D{DOT}")
 LONE_LETTER = (rf"{SPACE}({_L})\. ", f" $1{DOT} ")
 INITIALS = [
@@ -111,7 +107,7 @@ def split_sentences(text: Column | str) -> Column:
     # A title before the dot or a site ending behind it: the two rules touch only that dot, so one
     # search from dot to dot does both.
     work = F.regexp_replace(work, rf"\.(?:(?<=(?:{TITLES})\.)|(?={SITE_ENDINGS}))", DOT)
-    work = _rewrite(work, DOT_RULES_BEFORE_RUNS[2:])
+    work = _rewrite(work, [DECIMAL])
     work = _where(work, lambda t: t.contains(".."), _protect_dot_runs)
     work = F.replace(work, F.lit(DOCTORATE[0]), F.lit(DOCTORATE[1]))
     # The tests look for the rare dot first and backwards from it, not for every space or letter.

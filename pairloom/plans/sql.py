@@ -78,9 +78,10 @@ def _sub(expr: str, pattern: str, replacement: str) -> str:
 # The rules of sentence splitting, stated here on their own: a wrong rule on one side shows in the check.
 _GAP = r"[ \t\n\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Words that may open a sentence.
-_OPENERS = "Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|" + "".join(
-    word + _GAP + "|" for word in ("He", "She", "It", "They", "Their", "Our", "We", "But", "However", "That", "This")
-) + "Wherever"
+# The rules of sentence splitting, as patterns and replacements.
+_OPENERS = (
+    r"Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever"
+).replace(r"\s", _GAP)
 _BEFORE_RUNS = [
     (r"(Mr|St|Mrs|Ms|Dr)\.", "$1<prd>"),
     (r"\.(com|net|org|io|gov|edu|me)", "<prd>$1"),
