@@ -102,6 +102,23 @@ def respaced_schedule(spark, sf):
     return rows.select("event_id", "t", "old_t", _r("beta", 10))
 
 
+_STRIDE = list(range(0, fx.STEPS, 20))
+
+
+@query(
+    "respaced_by_stride",
+    f"WITH {sql.coefs_cte('base', sql.betas('linear', fx.STEPS))}, "
+    f"short AS ({sql.respaced_betas('base', _STRIDE)}), "
+    f"drawn AS (SELECT event_id, {sql.u_int(fx.SEED, 0, len(_STRIDE) - 1, 'event_id')} AS t FROM events) "
+    f"SELECT event_id, t, old_t, {sql.r6('beta', 10)} AS beta FROM drawn JOIN short USING (t)",
+)
+def respaced_by_stride(spark, sf):
+    """The schedule of 50 steps at one whole stride."""
+    short = noise.schedule(spark, "linear", fx.STEPS, "ddim50")
+    rows = noise.with_schedule(_drawn(spark, sf, 0, len(_STRIDE) - 1), short, ["old_t", "beta"])
+    return rows.select("event_id", "t", "old_t", _r("beta", 10))
+
+
 @query(
     "draw_timestep",
     f"SELECT event_id, {sql.u_int(fx.SEED, 0, 999, 'event_id')} AS t_train, "
@@ -287,3 +304,24 @@ def loss_targets(spark, sf):
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
+
+
+@query(
+    "reconstruct_fixed",
+    f"WITH {fx.PREDICTIONS_CTE}, p AS (SELECT *, rab * x_t - rm1 * eps_hat AS x0 FROM preds) "
+    + " UNION ALL ".join(
+        f"SELECT '{kind}' AS variance, vec_id, t, dim, {sql.r6('x0')} AS pred_x0, {sql.r6('c1 * x0 + c2 * x_t')} AS mean, "
+        f"{sql.r6(_VARIANCES[kind])} AS log_variance FROM p"
+        for kind in ("fixed_large", "fixed_small")
+    ),
+)
+def reconstruct_fixed(spark, sf):
+    """Both fixed variances, without clipping."""
+    coefs = fx.respaced(spark)
+    frames = []
+    for kind in ("fixed_large", "fixed_small"):
+        out = noise.reconstruct(fx.predictions(spark, sf, coefs), coefs, clip=False, variance=kind)
+        names = ("pred_x0", "mean", "log_variance")
+        flat = unnest(out, ["vec_id", "t"], F.arrays_zip(*names), "e", "dim").select("vec_id", "t", "dim", "e.*")
+        frames.append(flat.select(F.lit(kind).alias("variance"), "vec_id", "t", "dim", *[_r(c) for c in names]))
+    return frames[0].unionByName(frames[1])

@@ -69,7 +69,7 @@ def soft_targets(spark, sf):
     return rows.withColumn("weight", F.round("weight", 6))
 
 
-def _direction(name: str, query_view: str, pool_view: str, live_view: str | None = None) -> str:
+def _direction(name: str, query_view: str, pool_view: str, live_view: str | None = None, alpha: str = str(ALPHA)) -> str:
     """Soft targets from ``query_view``, logits from ``live_view``."""
 
     def product(view: str) -> str:
@@ -83,7 +83,7 @@ def _direction(name: str, query_view: str, pool_view: str, live_view: str | None
         f"{name}_p AS (SELECT *, logit - top - ln(sum(exp(logit - top)) OVER (PARTITION BY pos)) AS lp, "
         f"exp(soft - high) / sum(exp(soft - high)) OVER (PARTITION BY pos) AS share FROM {name}_m), "
         f"{name}_r AS (SELECT batch_no, pos, count(*) AS n, "
-        f"-sum(lp * ({ALPHA} * share + CASE WHEN own THEN {1 - ALPHA} ELSE 0 END)) AS loss FROM {name}_p GROUP BY ALL), "
+        f"-sum(lp * ({alpha} * share + CASE WHEN own THEN 1 - {alpha} ELSE 0 END)) AS loss FROM {name}_p GROUP BY ALL), "
         f"{name} AS (SELECT batch_no, max(n) AS candidates, avg(loss) AS loss FROM {name}_r GROUP BY batch_no)"
     )
 
@@ -103,6 +103,22 @@ def contrastive_loss(spark, sf):
     return out.withColumn("loss", F.round("loss", 6))
 
 
+RAMP = 20
+_RAMPED = f"({ALPHA} * least(1.0::DOUBLE, batch_no / {RAMP}.0::DOUBLE))"
+
+
+@query(
+    "contrastive_ramp",
+    f"WITH {fx.TWO_VIEWS_CTE}, {_direction('d12', 'x', 'y', alpha=_RAMPED)}, {_direction('d21', 'y', 'x', alpha=_RAMPED)} "
+    f"SELECT batch_no, d12.candidates, {sql.r6('d12.loss + d21.loss')} AS loss FROM d12 JOIN d21 USING (batch_no)",
+)
+def contrastive_ramp(spark, sf):
+    """The first epoch: alpha grows over the first batches."""
+    views = fx.two_views(spark, sf).withColumn("member", F.col("pos") % fx.BATCH)
+    out = vec.contrastive_loss(views, "batch_no", "member", "x", "y", BANK, TEMP, ALPHA, ramp_batches=RAMP)
+    return out.withColumn("loss", F.round("loss", 6))
+
+
 @query(
     "ema_value",
     "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, "
