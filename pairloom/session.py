@@ -56,10 +56,21 @@ def place(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_width(df.sparkSession), *keys)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The size of a frame as the optimizer estimates it; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """The largest split of a file scan."""
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle by ``keys`` only where the scan has fewer tasks than there are cores.
+    """Shuffle by ``keys`` where the frame is too small to fill a split for each core.
 
     Meant for heavy work on a small file; a large table has tasks enough and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if planned_bytes(df) >= cores * split_bytes(df.sparkSession) else df.repartition(cores, *keys)

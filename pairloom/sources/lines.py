@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import strip
 from pairloom.functions.tokens import MAX_TOKENS, Vocabulary
 from pairloom.functions.util import as_col
+from pairloom.session import planned_bytes, split_bytes
 
 BROADCAST_SPLITS = 200_000  # about 30 MB
 
@@ -38,9 +39,7 @@ def _splits(scan: DataFrame) -> DataFrame:
 def _most_splits(scan: DataFrame) -> int:
     """An upper bound of the splits of a scan, from sizes that the driver knows without a job."""
     spark = scan.sparkSession
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return size // limit + spark.sparkContext.defaultParallelism + len(scan.inputFiles())
+    return planned_bytes(scan) // split_bytes(spark) + spark.sparkContext.defaultParallelism + len(scan.inputFiles())
 
 
 def _numbered(spark: SparkSession, paths: str | list[str], base: int = 0) -> DataFrame:
