@@ -3,9 +3,11 @@
 import math
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pairloom.llm import fitting, quality, toxicity
@@ -91,6 +93,77 @@ def test_folding_and_exceptions():
     assert short > long > toxicity.score_text(lexicon, "word") == 1 / (1 + math.exp(3.0))
 
 
+def plain_statistics(text):
+    """The statistics of a text by Python's own means."""
+    ascii_ = lambda pattern: regex.compile(pattern, regex.ASCII)
+    count = lambda pattern: float(len(ascii_(pattern).findall(text)))
+    chars, words, lines = max(len(text), 1), max(count(r"[^\x20\x09-\x0D]+"), 1.0), text.split("\n")
+    distinct = len(set(ascii_(r"\s+").split(text)))
+    return {
+        "chars": math.log1p(len(text)), "word_length": chars / words,
+        "symbols": count(r"[#$%&*+<>=^~_{}\[\]\\|@]") / words, "symbol_runs": count(r"[#$%&*+<>=^~_{}\[\]\\|@!?]{2,}") / words,
+        "lone_symbols": count(r"(?<!\S)[^\sA-Za-z0-9\x80-\U0010FFFF]+(?!\S)") / words,
+        "repeated_words": count(r"(?<!\S)(\S+)(?=\s+\1(?!\S))") / words, "stops": count(r"[.!?]") / words,
+        "commas": text.count(",") / words, "digits": count(r"[0-9]+") / words, "capitals": count(r"[A-Z]+") / words,
+        "distinct_words": distinct / words, "distinct_root": distinct / math.sqrt(words), "line_words": words / len(lines),
+        "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Statistics, rules and logistic of every row again, without Spark."""
+    docs, labels = frames(spark)
+    model = quality.fit(docs, labels)
+    assert model.rules and tuple(plain_statistics("")) == model.features
+    odd = ["", "é ü ß ", "a a  a\tb b", "x\n\nx\n", "!! ?? ## a#b", "ab  cd\x0b12,34.", "日本語 テキスト", " lead and trail "]
+    more = spark.createDataFrame([(2000 + i, t, 0) for i, t in enumerate(odd)], "doc_id long, text string, score int")
+    texts = docs.unionByName(more)
+    want = []
+    for r in texts.collect():
+        stats = list(plain_statistics(r.text or "").values())
+        total = model.bias + sum(w for path, w in model.rules if all((stats[f] > t) == above for f, above, t in path))
+        held = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        want.append((r.doc_id, held, 1 / (1 + math.exp(-total))))
+    got = [(r.id, bool(r.held_out), r.score) for r in quality.score(texts, model).collect()]
+    key = lambda r: (str(r[0]), r[2])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[0] == b[0] and (a[0] is None or a[1] == b[1]) and a[2] == pytest.approx(b[2], abs=1e-9)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    docs, labels = frames(spark)
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.entries
+    want = sorted((str(r.doc_id), toxicity.score_text(lexicon, r.text)) for r in docs.collect())
+    got = sorted((str(r.id), r.score) for r in toxicity.score(docs, lexicon).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-12)
+
+
+def test_several_rows_of_an_id_give_the_same_fit(spark):
+    """Ids that repeat very often neither change a fit from run to run nor push other labels out."""
+    docs, labels = frames(spark, 200)
+    many = docs.unionByName(docs.filter("doc_id < 20").crossJoin(spark.range(40)).drop("id").withColumn("text", F.concat("text", F.lit(" z"))))
+    fits = [m.fit(many.repartition(n), labels, rows=150) for m in (quality, toxicity) for n in (1, 7)]
+    assert fits[0] == fits[1] and fits[2] == fits[3]
+    assert fits[2] == toxicity.fit(docs, labels, rows=150)  # the smallest text of an id counts
+
+
+def test_excused_hits_against_all_pairs():
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon(((" bad", 2.0), (" bad egg", 3.0), (" egg ", 1.0)), ("bad egg hunt", "good egg"), (1.0, 1.0), 0.0)
+    automaton = lexicon.automaton()
+    for _ in range(200):
+        text = " ".join(rng.choice(["bad", "egg", "hunt", "good", "badly"]) for _ in range(rng.randint(0, 12)))
+        folded = toxicity.fold(text)
+        spans = [(m.start(), m.end()) for e in lexicon.exceptions for m in regex.finditer(f" {e} ", folded, overlapped=True)]
+        want = set()
+        for start in range(len(folded)):
+            fits = [(w, start + len(e)) for e, w in lexicon.entries if folded.startswith(e, start)]
+            if fits and not any(a <= start and start + 2 <= b for a, b in spans):
+                want.add((start, max(fits)[1]))
+        assert {(a, b) for a, b, _ in lexicon.features(automaton, text)[2]} == want
+
+
 @needs_tables
 def test_quality_of_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

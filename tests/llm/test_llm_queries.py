@@ -10,6 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
 import check  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline as pipeline  # noqa: E402
@@ -65,6 +66,29 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_keep_quality_on_odd_rows(spark, tmp_path):
+    """The classifier's decisions, row by row; null and empty texts, repeated and null ids, an empty table."""
+    from pairloom.llm import quality
+
+    good = [(i, f"A calm river ran over stone number {i}, and the light was low. It was green.", "en", "a", 1) for i in range(60)]
+    bad = [(100 + i, " ".join(f"w{i}### $$@" for _ in range(20)), "en", "b", 1) for i in range(60)]
+    odd = [(None, None, None, None, None), (300, "", "en", "a", 0), (300, "", "en", "a", 0), (None, good[0][1], "en", "a", 1), bad[3]]
+    docs = spark.createDataFrame(good + bad + odd, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100)) for r in good + bad], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = pipeline.keep_quality(spark, docs.withColumn("chars", F.lit("clash")), str(tmp_path))
+    rules = quality.fit(docs, labels)
+    decided = {(r.id, r.text or ""): r.predicted for r in quality.score(docs, rules).join(docs.withColumnRenamed("doc_id", "id"), "id").collect()}
+    assert kept.columns == pipeline.COLUMNS
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    empty = quality.score(spark.createDataFrame([(1, "")], "doc_id long, text string"), rules).first().predicted
+    none = quality.score(spark.createDataFrame([(1, good[0][1])], "doc_id long, text string"), rules).first().predicted
+    keeps = lambda r: decided[r[0], r[1] or ""] if r[0] is not None and r[1] else (empty if not r[1] else none)
+    assert got == sorted((r for r in good + bad + odd if keeps(r)), key=repr)
+    assert len(got) < len(good + bad + odd) and sum(r[0] is not None and r[0] < 100 for r in got) == 60
+    assert pipeline.keep_quality(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     again = pipeline.run(spark, SF).collect()
