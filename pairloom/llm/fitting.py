@@ -38,7 +38,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, st
     weights = np.zeros(width + 1)
     weights[-1] = np.log(share / (1 - share))
     full = np.column_stack((x, np.ones(rows)))
-    step = 4 / (np.linalg.norm(full, 2) ** 2 / rows + 4 * l2)
+    # The largest singular value from the small product: no further copy of all rows.
+    step = 4 / (np.linalg.eigvalsh(full.T @ full)[-1] / rows + 4 * l2)
     ahead, momentum = weights.copy(), 1.0
     for _ in range(steps):
         gradient = full.T @ (sigmoid(full @ ahead) - y) / rows

@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
     if not paths:
         share = (y.sum() + 1) / (len(y) + 2)
         return Rules(names, (), float(np.log(share / (1 - share))))
-    hold = np.column_stack([holds(p, x) for p in paths]).astype(float)
+    hold = np.column_stack([holds(p, x) for p in paths])
     weights, bias = logistic(hold, y, l1=LASSO)
     kept = np.flatnonzero(weights)
     # The lasso chooses; a refit of the chosen rules undoes its shrinkage.
