@@ -56,8 +56,8 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int], marks: dict[str, Colu
     A gram is put together from the characters behind its place; cutting it out of the text would
     walk the text from its start for every gram.
 
-    ``marks`` are numbers of a pair, from ``target`` and ``pred``. With them every pair, also one without any gram, has one more row with null ``n`` and
-    ``gram`` that carries them; they are null in all others.
+    ``marks`` are numbers of a pair, from ``target`` and ``pred``. With them every pair, also one without any gram, has
+    one more row with null ``n`` and ``gram`` that carries them; they are null in all others.
     """
     marks = marks or {}
 

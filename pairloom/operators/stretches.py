@@ -59,7 +59,9 @@ def _bounds(df: DataFrame, keys: list[str], order: str, width: int, depth: int)
     hot = sampled.withColumn("_parts", F.ceil(parts).cast("int")).filter("_parts > 1")
     none = F.array().cast(T.ArrayType(df.schema[order].dataType))  # for a key without any order value
     return hot.select(
-        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_parts", F.when(F.size("_q") > 0, bounds).otherwise(none).alias("_bounds")
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        "_parts",
+        F.when(F.size("_q") > 0, bounds).otherwise(none).alias("_bounds"),
     )
 
 

@@ -68,7 +68,11 @@ def index_lines(spark: SparkSession, path: str, index: str) -> None:
     """Store a sparse index of the lines of ``path``: a row per split with its file, the file's size, its place,
     its first line and its number of lines. It is written once and spares every later range the files outside it."""
     rows = _splits(_scan(spark, path)).select(
-        "path", F.col("_size").alias("size"), F.col("_start").alias("start"), F.col("_offset").alias("first_line"), F.col("_count").alias("lines")
+        "path",
+        F.col("_size").alias("size"),
+        F.col("_start").alias("start"),
+        F.col("_offset").alias("first_line"),
+        F.col("_count").alias("lines"),
     )
     rows.write.mode("overwrite").parquet(index)
 
@@ -76,7 +80,8 @@ def index_lines(spark: SparkSession, path: str, index: str) -> None:
 def _indexed(spark: SparkSession, index: str, first: int, end: int) -> tuple[list[str], int]:
     """The files that hold lines ``[first, end)``, in order, and the number of the first line of the first one."""
     splits = spark.read.parquet(index)
-    hit = splits.filter(F.lit(first < end) & (F.col("first_line") < end) & (F.col("first_line") + F.col("lines") > first)).select("path").distinct()
+    overlaps = F.lit(first < end) & (F.col("first_line") < end) & (F.col("first_line") + F.col("lines") > first)
+    hit = splits.filter(overlaps).select("path").distinct()
     files = splits.join(hit, "path").groupBy("path").agg(F.min("first_line").alias("first_line"), F.max("size").alias("size"))
     rows = sorted(files.collect(), key=lambda r: r["first_line"])  # the file list of the scan to come
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

@@ -67,7 +67,8 @@ def stream_loss_history(
 ) -> DataFrame:
     """The last ``n`` losses per key: in each micro-batch, a snapshot of every key that it changed.
 
-    Run it with `run_latest`, which keeps the newest snapshot of each key and nothing else. A key is spread over ``salts`` state groups, so a hot key is no hot task; each keeps its own
+    Run it with `run_latest`, which keeps the newest snapshot of each key and nothing else. A key is spread
+    over ``salts`` state groups, so a hot key is no hot task; each keeps its own
     last ``n``, and `latest_history` merges them. State is ``n`` numbers per group.
     """
 
