@@ -419,7 +419,9 @@ def hard_negatives(
     first = written(search(packs, blocks, tree, True, positives), "positives")
     asked = with_windows(packs, first, positives, low, high)
     found = search(asked, blocks, tree, False, negatives)
-    best = first.select("pack", "slot", (F.col("rank") - 1).alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+    best = first.select(
+        "pack", "slot", (F.col("rank") - 1).alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")
+    )
     return found.join(best, ["pack", "slot", "window"]).select(
         F.col("anchor").alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"),
