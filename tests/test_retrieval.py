@@ -91,3 +91,23 @@ def test_single_candidate_batch_always_hits(spark):
 def test_one_shuffle_by_batch(case):
     plan = case[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fold_holds_few_queries_at_a_time():
+    """An Arrow batch has up to 10,000 queries; the noise of all of them, 10 rounds each, would take hundreds of MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows, rounds, dims = 2 * ret.FOLD_ROWS + 3000, 10, 64
+    x, ab = rng.standard_normal((rows, dims)), rng.uniform(0.1, 0.9, (rows, rounds))
+    words = [rng.integers(0, 2**32, rows * rounds) for _ in range(2)]
+    tracemalloc.start()
+    out = ret.fold_rows(x, ab, words, dims)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.start()
+    tracemalloc.reset_peak()
+    whole = ret._fold_rows(x, ab, words, dims)
+    at_once = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(out, whole) and peak < out.nbytes + 20e6 < at_once / 3
+    assert ret.fold_rows(x[:0], ab[:0], [w[:0] for w in words], dims).shape == (0, dims + 2)
