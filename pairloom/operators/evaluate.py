@@ -10,6 +10,9 @@ from pairloom.operators.rows import unnest, unnest_structs
 from pairloom.session import place
 
 
+LETTERS = 500_000  # of one partition of pairs, whose grams meet in the memory of one task
+
+
 def _default_normal(text: Column) -> Column:
     return F.lower(F.trim(text))
 
@@ -56,6 +59,8 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int], marks: dict[str, Colu
     A gram is put together from the characters behind its place; cutting it out of the text would
     walk the text from its start for every gram.
 
+    The number of partitions follows the number of letters, counted first, so what a task holds does not grow with the table.
+
     ``marks`` are numbers of a pair, from ``target`` and ``pred``. With them every pair, also one without any gram, has
     one more row with null ``n`` and ``gram`` that carries them; they are null in all others.
     """
@@ -71,7 +76,9 @@ def gram_counts(df: DataFrame, key: str, sizes: list[int], marks: dict[str, Colu
 
     # Only the pair's own row of the three carries the marks.
     own = F.col("a").isNull()
-    placed = place(df.select(key, "target", "pred"), key).select("*", *[v.alias(f"_{m}") for m, v in marks.items()])
+    lengths = [F.coalesce(F.length(c), F.lit(0)).cast("long") for c in ("target", "pred")]
+    letters = df.agg(F.sum(lengths[0] + lengths[1])).first()[0] or 0
+    placed = place(df.select(key, "target", "pred"), key, least=-(-letters // LETTERS)).select("*", *[v.alias(f"_{m}") for m, v in marks.items()])
     held = [F.when(own, F.col(f"_{m}")).alias(f"_{m}") for m in marks]
     blank = F.struct(F.array(F.lit("")).alias("chars"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
     three = F.array(side("target", 1, 0), side("pred", 0, 1), *([blank] if marks else []))

@@ -92,3 +92,13 @@ def test_same_answer_on_one_and_many_partitions(spark):
     one = ev.corpus_bleu(df.coalesce(1), "pair_id").first()
     many = ev.corpus_bleu(df.repartition(8), "pair_id").first()
     assert one == many
+
+
+def test_partitions_follow_the_letters(spark, monkeypatch):
+    """A fixed number of partitions would give each task a share of the grams that grows with the table."""
+    df = spark.createDataFrame([(i, f"abc{i} text", f"abd{i} text") for i in range(400)] + [(400, None, "x")], "k long, target string, pred string")
+    want = ev.corpus_bleu(df, "k").first()
+    monkeypatch.setattr(ev, "LETTERS", 100, raising=False)
+    letters = sum(2 * len(f"abc{i} text") for i in range(400)) + 1
+    assert ev.gram_counts(df, "k", [1, 2]).rdd.getNumPartitions() == -(-letters // 100)
+    assert ev.corpus_bleu(df, "k").first() == want
