@@ -44,11 +44,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
     base = docs.select(*COLUMNS)
     stats = base.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # Behind a generator: a filter moved below a projection would hold a copy of the statistics for each use in the rules.
-    row = F.struct(*[c.alias(f"_{n}") for n, c in quality.statistics().items()])
-    scored = unnest_structs(stats, COLUMNS, F.array(row), "_chars")
+    counted = stats.select(*COLUMNS, *[c.alias(f"_{n}") for n, c in quality.statistics().items()])
     renamed = quality.Rules(tuple(f"_{n}" for n in rules.features), rules.rules, rules.bias)
-    return scored.filter(renamed.column() >= quality.THRESHOLD).select(*COLUMNS)
+    # Behind a generator: a filter moved below the projection would hold a copy of the statistics for each use in the rules.
+    scored = unnest_structs(counted, COLUMNS, F.array(F.struct(renamed.column().alias("_score"))), "_score")
+    return scored.filter(F.col("_score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
